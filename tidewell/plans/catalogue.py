@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewell.plans import periods
+from tidewell.plans import known_at, periods, trailing
 
-_MODULES = (periods,)
+_MODULES = (periods, known_at, trailing)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
