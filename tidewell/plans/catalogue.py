@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewell.plans import common_units, known_at, periods, trailing
+from tidewell.plans import common_units, known_at, periods, person_splits, trailing
 
-_MODULES = (periods, known_at, common_units, trailing)
+_MODULES = (periods, person_splits, known_at, common_units, trailing)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
