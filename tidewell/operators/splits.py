@@ -14,6 +14,8 @@ import heapq
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidewell.session import ship
+
 
 def difference(weights: list[float], bins: int) -> list[int]:
     """Bin of each weight, by largest differencing into `bins` bins.
@@ -70,6 +72,7 @@ def balanced_splits(groups: DataFrame, targets: list[tuple[str, float]], bins: i
     left out. Repeated group_ids must be summed before. Shares are relative; a split with
     share zero gets nothing. Without groups the result is empty.
     """
+    ship(groups.sparkSession)
     rows = groups.where("group_id is not null").select("group_id", F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"))
     n = rows.count()
     blocks = max(1, -(-n // block))
