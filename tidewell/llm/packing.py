@@ -14,6 +14,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidewell.session import ship
+
 #: Parts of each size when items are ranked.
 SALTS = 32
 
@@ -99,9 +101,12 @@ def pack(items: DataFrame, capacities: DataFrame, key: str, size: str, salts: in
     and null keys need no place and have no row. Equal sizes are ranked by key, so the result
     depends on the data alone. Capacities that are null or below 1, and repeated ones, are left out.
     """
+    ship(items.sparkSession)
     packs = capacities.select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity")).where("pack_name is not null and capacity > 0").distinct()
     rows = items.where(F.col(key).isNotNull() & (F.col(size) > 0)).select(F.col(key).alias("_key"), F.col(size).cast("long").alias("_size"))
-    each = rows.join(F.broadcast(packs))
+    # The packs are a handful of names by nature; each item is written out once for each of them.
+    choices = F.array(*[F.struct(F.lit(r.pack_name).alias("pack_name"), F.lit(r.capacity).alias("capacity")) for r in sorted(packs.collect())])
+    each = rows.select("_key", "_size", F.inline(choices))
     cut = each.withColumn("_full", F.when(F.col("_size") > F.col("capacity"), F.expr("_size div capacity")).otherwise(0)).withColumn("_rest", F.col("_size") - F.col("_full") * F.col("capacity"))
     full = cut.where("_full > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_full") - 1))).select(
         "pack_name", F.col("_key").alias(key), "piece", (F.col("piece") * F.col("capacity")).alias("start"), F.col("capacity").alias("length"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewell.llm import subjects
 from tidewell.llm.packing import pack
 from tidewell.llm.tokenizer import encode_texts
 from tidewell.session import cut
@@ -30,5 +31,24 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
         F.round(F.sum("used") / (F.count(F.lit(1)) * F.first("capacity")), 6).alias("filled"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+def _assigned(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    # A handful of names by nature.
+    areas = sorted(r.area for r in table(spark, sf, "subject_areas").where("area is not null").select("area").distinct().collect())
+    return subjects.subject_areas(documents, table(spark, sf, "area_labels"), areas)
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, area): one or two areas of each document that has its own content."""
+    return subjects.at_most_two(_assigned(spark, sf)).select("doc_id", "area").distinct()
+
+
+def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and characters by area; a document with two areas counts for both."""
+    size = table(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("chars"))
+    return subjects.at_most_two(_assigned(spark, sf)).join(size, "doc_id").groupBy("area").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("chars").alias("chars"), F.round(F.avg("topic_share"), 6).alias("mean_topic_share"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_composition": p9_composition, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
 ORACLES: dict[str, str] = {}

@@ -22,6 +22,8 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidewell.session import ship
+
 #: Where the vocabulary lies, if the caller gives no path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that cuts texts into words for this vocabulary.
@@ -144,10 +146,6 @@ def _words(content: bytes) -> _Words:
     return _LOADED[key]
 
 
-def _cut(text: str, pattern) -> list[str]:
-    return pattern.findall(text)
-
-
 def encode_texts(df: DataFrame, text: str, keep: list[str], vocabulary: str = VOCABULARY, ids: str = "ids", count_only: bool = False) -> DataFrame:
     """The columns `keep` of `df` and the token ids of its column `text`.
 
@@ -156,6 +154,7 @@ def encode_texts(df: DataFrame, text: str, keep: list[str], vocabulary: str = VO
     stay where they are: no shuffle.
     """
     spark = df.sparkSession
+    ship(spark)
     with open(vocabulary, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
     rows = df.select(*keep, F.col(text).alias("_text"))
