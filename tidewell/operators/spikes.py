@@ -34,9 +34,9 @@ class Rules:
     sample: int = 64
     depth: int = 6
     #: Score from which a reading is looked at.
-    candidate: float = 0.45
+    candidate: float = 0.5
     #: A spike is this many typical steps away from the level on both sides ...
-    steps: float = 7.5
+    steps: float = 5.0
     #: ... enters and leaves with this part of its height at once, and lasts at most so many runs and readings.
     abrupt: float = 0.6
     longest: int = 3
@@ -142,16 +142,16 @@ def judge(source: np.ndarray, at_us: np.ndarray, value: np.ndarray, floor: np.nd
     run = np.diff(np.r_[first, len(value)])
     u_source, u_value, u_at, u_floor = source[first], value[first], at_us[first], floor[first]
     _, u_source = np.unique(u_source, return_inverse=True)
-    # The typical step of a source: mean of the lower four fifths of its steps.
+    # The typical step of a source: mean of the lower three fifths of its steps, which spikes don't reach.
     step = np.abs(_shifted(u_value, u_source, -1) - u_value)
     has = np.flatnonzero(~np.isnan(step))
     order = has[np.lexsort((step[has], u_source[has]))]
     n_source = u_source[-1] + 1
     steps = np.bincount(u_source[has], minlength=n_source)
     rank = np.arange(len(order)) - np.repeat(np.cumsum(steps) - steps, steps)
-    low = rank < np.ceil(0.8 * steps[u_source[order]])
+    low = rank < np.ceil(0.6 * steps[u_source[order]])
     typical = np.bincount(u_source[order][low], weights=step[order][low], minlength=n_source) / np.maximum(np.bincount(u_source[order][low], minlength=n_source), 1)
-    scale = np.maximum(typical[u_source] * 1.4, u_floor)
+    scale = np.maximum(typical[u_source] * 1.98, u_floor)
     before = _median([_shifted(u_value, u_source, -k) for k in range(1, rules.near + 1)])
     after = _median([_shifted(u_value, u_source, k) for k in range(1, rules.near + 1)])
     # Features of the forest.
