@@ -141,7 +141,7 @@ def judge(source: np.ndarray, at_us: np.ndarray, value: np.ndarray, floor: np.nd
     first = np.flatnonzero(fresh)
     run = np.diff(np.r_[first, len(value)])
     u_source, u_value, u_at, u_floor = source[first], value[first], at_us[first], floor[first]
-    _, u_source = np.unique(u_source, return_inverse=True)
+    u_source = np.cumsum(np.r_[True, u_source[1:] != u_source[:-1]]) - 1
     # The typical step of a source: mean of the lower three fifths of its steps, which spikes don't reach.
     step = np.abs(_shifted(u_value, u_source, -1) - u_value)
     has = np.flatnonzero(~np.isnan(step))
@@ -192,30 +192,45 @@ def judge(source: np.ndarray, at_us: np.ndarray, value: np.ndarray, floor: np.nd
 
 
 def score_readings(readings: DataFrame, stretch_days: int = 60, overlap_days: int = 6, rules: Rules = Rules()) -> DataFrame:
-    """(row_id, score, spike, stuck) of each row of `readings` (row_id, source, at_us, value, floor).
-
-    Rows with a null in any of these are left out; row_id must not repeat. Readings at one time are
-    taken in the order of row_id. Sources of one or two readings get the neutral score 0.5 and no flag.
-    A stretch of `stretch_days` is judged together with `overlap_days` on both sides; runs and levels
-    that reach farther are cut there.
+    """(row_id, score, reason) of each reading; reason is `limit`, `spike`, `stuck` or null.
+
+    `readings` has (row_id, source, at_us, stored_us, value, possible, floor): possible says whether
+    the value is within its physical limits, floor is the least step that counts as typical. Of rows
+    with one row_id that with the least stored_us counts. Impossible readings (`limit`, score 1) don't
+    count as neighbours of others. Rows with a null row_id or value are left out; with a null source
+    or time only the limits are applied. Readings at one time are taken in the order of row_id.
+    Sources of one or two readings get the neutral score 0.5 and no flag. A stretch of `stretch_days`
+    is judged together with `overlap_days` on both sides; runs and levels that reach farther are
+    cut there. Copies of a row must agree in source and time, so that they meet in one task.
     """
     ship(readings.sparkSession)
     length, margin = stretch_days * DAY, overlap_days * DAY
-    rows = readings.select("row_id", "source", "at_us", "value", "floor").dropna()
+    rows = readings.where("row_id is not null and value is not null").withColumn("known", F.expr("source is not null and at_us is not null"))
+    rows = rows.withColumn("at_us", F.coalesce("at_us", F.lit(0)))
     own = F.expr(f"at_us div {length}")
     # A reading near a border also stands in the next stretch, where it is context only.
     spans = F.array_distinct(F.array(own, F.expr(f"(at_us - {margin}) div {length}"), F.expr(f"(at_us + {margin}) div {length}")))
     rows = rows.withColumn("own", own).withColumn("stretch", F.explode(spans)).withColumn("own", F.col("own") == F.col("stretch"))
     buckets = 4 * int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("series", F.xxhash64("source", "stretch")).withColumn("bucket", F.pmod("series", F.lit(buckets)).cast("int"))
+    # Without a source a row is a series of its own.
+    series = F.when(F.col("known"), F.xxhash64("source", "stretch")).otherwise(F.xxhash64("row_id"))
+    rows = rows.withColumn("series", series).withColumn("bucket", F.pmod("series", F.lit(buckets)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["series", "at_us", "row_id"], ignore_index=True)
-        _, number = np.unique(pdf["series"].to_numpy(), return_inverse=True)
-        score, spike, stuck = judge(number, pdf["at_us"].to_numpy(), pdf["value"].to_numpy(), pdf["floor"].to_numpy(), rules)
-        out = pd.DataFrame({"row_id": pdf["row_id"], "score": score, "spike": spike, "stuck": stuck})
-        return out[pdf["own"].to_numpy()]
+        row, series, stored = pdf["row_id"].to_numpy(), pdf["series"].to_numpy(), pdf["stored_us"].fillna(np.iinfo(np.int64).max).to_numpy()
+        order = np.lexsort((stored, row, pdf["at_us"].to_numpy(), series))
+        pdf = pdf.iloc[order]
+        row, series = row[order], series[order]
+        pdf = pdf[np.r_[True, (row[1:] != row[:-1]) | (series[1:] != series[:-1])]]
+        judged = (pdf["possible"] & pdf["known"]).to_numpy()
+        score, reason = np.where(pdf["possible"], 0.5, 1.0), np.where(pdf["possible"], None, "limit").astype(object)
+        if judged.any():
+            part = pdf[judged]
+            got, spike, stuck = judge(part["series"].to_numpy(), part["at_us"].to_numpy(), part["value"].to_numpy(), part["floor"].to_numpy(), rules)
+            score[judged] = got
+            reason[judged] = np.where(stuck, "stuck", np.where(spike, "spike", None))
+        return pd.DataFrame({"row_id": pdf["row_id"], "score": score, "reason": reason})[pdf["own"].to_numpy()]
 
     kind = dict(readings.dtypes)["row_id"]
-    return rows.select("bucket", "series", "row_id", "at_us", "value", "floor", "own").groupBy("bucket").applyInPandas(
-        run, f"row_id {kind}, score double, spike boolean, stuck boolean")
+    return rows.select("bucket", "series", "row_id", "at_us", "stored_us", "value", "floor", "possible", "known", "own").groupBy("bucket").applyInPandas(
+        run, f"row_id {kind}, score double, reason string")

@@ -7,37 +7,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewell.functions.times import micros
 from tidewell.operators.spikes import score_readings
 from tidewell.operators.units import to_common
-from tidewell.sources import first_deliveries, table
+from tidewell.sources import table
 
 # The vital signs, and the least step of each that counts as typical, in the common unit.
 VITALS = {"220045": 1.5, "220052": 1.5, "220050": 1.5, "220210": 0.8, "220277": 0.4, "223762": 0.12}
 
 
-def vital_readings(spark: SparkSession, sf: str) -> DataFrame:
-    """(event_id, stay_id, type, at_us, value, possible): first deliveries of the vital signs in common units."""
-    features = table(spark, sf, "features").where(F.col("type").isin(*VITALS))
-    features = features.where("value_num is not null or value_txt is not null")
-    rows = first_deliveries(features, ["stay_id", "type", "time", "value_num", "value_txt", "uom"])
+def judged(spark: SparkSession, sf: str) -> DataFrame:
+    """(event_id, score, reason) of every reading of the vital signs, in common units."""
+    features = table(spark, sf, "features").where(F.col("type").isin(*VITALS) & F.col("value_num").isNotNull())
     items = table(spark, sf, "item_dim")
     # One row for each of the few types.
     limits = items.dropDuplicates(["type"]).select("type", "lo", "hi")
-    rows = to_common(rows, items).join(F.broadcast(limits), "type")
-    rows = rows.where("value_num is not null and common_value is not null")
-    return rows.select("event_id", "stay_id", "type", micros("time").alias("at_us"), F.round("common_value", 6).alias("value"),
-                       F.col("common_value").between(F.col("lo"), F.col("hi")).alias("possible"))
-
-
-def judged(spark: SparkSession, sf: str) -> DataFrame:
-    """(event_id, score, reason): every reading; reason is `limit`, `spike`, `stuck` or null."""
-    rows = vital_readings(spark, sf)
+    rows = to_common(features.select("event_id", "stay_id", "type", "time", "storetime", "value_num", "value_txt", "uom"), items)
+    rows = rows.where("common_value is not null").join(F.broadcast(limits), "type")
     floor = F.element_at(F.create_map(*[F.lit(x) for pair in VITALS.items() for x in pair]), F.col("type"))
-    # Impossible values are judged by the limits alone, and mustn't disturb the level of their neighbours.
-    series = rows.where("possible and stay_id is not null").select(
-        F.col("event_id").alias("row_id"), F.struct("stay_id", "type").alias("source"), "at_us", "value", floor.alias("floor"))
-    scored = score_readings(series)
-    reason = F.when(F.col("stuck"), "stuck").when(F.col("spike"), "spike")
-    limit = rows.where("not possible").select("event_id", F.lit(1.0).alias("score"), F.lit("limit").alias("reason"))
-    return scored.select(F.col("row_id").alias("event_id"), "score", reason.alias("reason")).unionByName(limit)
+    readings = rows.select(
+        F.col("event_id").alias("row_id"), F.when(F.col("stay_id").isNotNull(), F.struct("stay_id", "type")).alias("source"),
+        micros("time").alias("at_us"), micros("storetime").alias("stored_us"), F.round("common_value", 6).alias("value"),
+        F.col("common_value").between(F.col("lo"), F.col("hi")).alias("possible"), floor.alias("floor"))
+    return score_readings(readings).withColumnRenamed("row_id", "event_id")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
