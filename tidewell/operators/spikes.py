@@ -211,7 +211,7 @@ def score_readings(readings: DataFrame, stretch_days: int = 60, overlap_days: in
     # A reading near a border also stands in the next stretch, where it is context only.
     spans = F.array_distinct(F.array(own, F.expr(f"(at_us - {margin}) div {length}"), F.expr(f"(at_us + {margin}) div {length}")))
     rows = rows.withColumn("own", own).withColumn("stretch", F.explode(spans)).withColumn("own", F.col("own") == F.col("stretch"))
-    buckets = 4 * int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 16 * int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Without a source a row is a series of its own.
     series = F.when(F.col("known"), F.xxhash64("source", "stretch")).otherwise(F.xxhash64("row_id"))
     rows = rows.withColumn("series", series).withColumn("bucket", F.pmod("series", F.lit(buckets)).cast("int"))

@@ -76,8 +76,8 @@ def compose(edges: list[tuple[str, str, str, float, float]], tolerance: float =
 
 
 def spelling(c: Column) -> Column:
-    """A unit's text in the form of SPELLINGS."""
-    return F.translate(F.lower(F.regexp_replace(c, r"\s+", "")), "µμ", "uu")
+    """A unit's text in the form of SPELLINGS: lower case, without white space, mu as u."""
+    return F.translate(F.lower(c), "µμ \t\n\r\u00a0", "uu")
 
 
 def text_number(c: Column) -> Column:
@@ -91,17 +91,27 @@ def text_unit(c: Column) -> Column:
     return spelling(rest)
 
 
-def unit_table(spark: SparkSession, edges: list | None = None) -> DataFrame:
-    """(quantity, spelling, unit): fixed rows, one for each spelling of each unit of a quantity."""
-    units = {(q, u) for q, a, b, _, _ in (edges or EDGES) for u in (a, b)}
-    rows = [(q, s, u) for q, u in sorted(units) for s in SPELLINGS[u]]
-    return spark.createDataFrame(rows, "quantity string, spelling string, unit string")
+def _tables(spark: SparkSession, items: DataFrame, edges: list) -> tuple[DataFrame, DataFrame]:
+    """The item types with their common and other unit, and all (type, spelling) with their conversion.
 
-
-def conversion_table(spark: SparkSession, edges: list | None = None) -> DataFrame:
-    """(quantity, unit, target, scale, offset): fixed rows, all compositions."""
-    rows = [(q, a, b, s, o) for (q, a, b), (s, o) in sorted(compose(edges or EDGES).items())]
-    return spark.createDataFrame(rows, "quantity string, unit string, target string, scale double, offset double")
+    Both come from `items`, of which there is one row for each type, and from the fixed values above.
+    """
+    ways = compose(edges)
+    units = sorted({(q, u) for q, a, b, _, _ in edges for u in (a, b)})
+    plain = lambda u: "".join(u.lower().replace("µ", "u").replace("μ", "u").split())
+    dim, known = [], []
+    for r in items.where("type is not null and common_uom is not null").dropDuplicates(["type"]).select("type", "common_uom", "lo", "hi").collect():
+        q = QUANTITY.get(r.type)
+        common = next((u for k, u in units if k == q and plain(r.common_uom) in SPELLINGS[u]), None)
+        if common is None:
+            continue
+        other = next((u for u in BY_SIZE.get(r.type, []) if u != common), None)
+        dim.append((r.type, common, r.lo, r.hi, other, *(ways[q, other, common] if other else (None, None))))
+        known += [(r.type, s, u, *ways[q, u, common]) for k, u in units if k == q and (q, u, common) in ways for s in SPELLINGS[u]]
+    return (
+        spark.createDataFrame(dim, "_type string, common_unit string, lo double, hi double, o_unit string, o_scale double, o_offset double"),
+        spark.createDataFrame(known, "_type string, spelling string, unit string, scale double, offset double"),
+    )
 
 
 def to_common(df: DataFrame, items: DataFrame) -> DataFrame:
@@ -114,25 +124,10 @@ def to_common(df: DataFrame, items: DataFrame) -> DataFrame:
     the item's possible range and into it; for closer units, if the value is impossible as
     written and possible in the other unit. Missing values, unknown types and unknown units
     give null; value is value_num or, where that is null, the number in value_txt.
-    `items` (type, common_uom, lo, hi) has one row for each type and is small by nature.
+    `items` (type, common_uom, lo, hi) has one row for each type and is small by nature; its
+    conversions are looked up on the driver and joined as small tables.
     """
-    spark = df.sparkSession
-    kinds = spark.createDataFrame(sorted(QUANTITY.items()), "type string, quantity string")
-    spelled, ways = unit_table(spark), conversion_table(spark)
-    common = (
-        items.dropDuplicates(["type"]).join(F.broadcast(kinds), "type").withColumn("spelling", spelling(F.col("common_uom")))
-        .join(F.broadcast(spelled), ["quantity", "spelling"]).select("type", "quantity", F.col("unit").alias("common_unit"), "lo", "hi")
-    )
-    # One row for each type with the table of its units: a handful of rows, joined on type.
-    away = spark.createDataFrame([(t, u) for t, us in BY_SIZE.items() for u in us], "type string, unit string").join(kinds, "type")
-    other = (
-        away.join(common.select("type", "common_unit"), "type").join(ways.withColumnRenamed("target", "common_unit"), ["quantity", "unit", "common_unit"])
-        .groupBy("type").agg(F.first("unit").alias("o_unit"), F.first("scale").alias("o_scale"), F.first("offset").alias("o_offset"))
-    )
-    dim = common.join(other, "type", "left").withColumnRenamed("type", "_type")
-    known = spelled.join(common.select("type", "quantity", "common_unit"), "quantity").join(
-        ways.withColumnRenamed("target", "common_unit"), ["quantity", "unit", "common_unit"]
-    ).select(F.col("type").alias("_type"), "spelling", "unit", "scale", "offset")
+    dim, known = _tables(df.sparkSession, items, EDGES)
     rows = df.withColumn("value", F.coalesce("value_num", text_number(F.col("value_txt"))))
     rows = rows.withColumn("_in_text", F.when(F.col("value_txt").rlike(r"\d"), text_unit(F.col("value_txt")))).withColumn("_in_uom", spelling(F.col("uom")))
     by_text = known.select(F.col("_type").alias("_t1"), F.col("spelling").alias("_s1"), F.col("unit").alias("u1"), F.col("scale").alias("a1"), F.col("offset").alias("b1"))
@@ -142,18 +137,21 @@ def to_common(df: DataFrame, items: DataFrame) -> DataFrame:
         .join(F.broadcast(by_text), (F.col("type") == F.col("_t1")) & (F.col("_in_text") == F.col("_s1")), "left")
         .join(F.broadcast(by_uom), (F.col("type") == F.col("_t2")) & (F.col("_in_uom") == F.col("_s2")), "left")
     )
-    said = F.coalesce("u1", "u2", "common_unit")
-    scale, offset = F.coalesce("a1", "a2", F.lit(1.0)), F.coalesce("b1", "b2", F.lit(0.0))
-    as_said, as_other = F.col("value") * scale + offset, F.col("value") * F.col("o_scale") + F.col("o_offset")
+    # Each step is a column of its own, so that it is computed once.
+    rows = rows.withColumns({"_said": F.coalesce("u1", "u2", "common_unit"), "_scale": F.coalesce("a1", "a2", F.lit(1.0)), "_offset": F.coalesce("b1", "b2", F.lit(0.0))})
+    rows = rows.withColumns({"_as_said": F.col("value") * F.col("_scale") + F.col("_offset"), "_as_other": F.col("value") * F.col("o_scale") + F.col("o_offset")})
+    as_said, as_other = F.col("_as_said"), F.col("_as_other")
     possible = lambda v: v.between(F.col("lo"), F.col("hi"))
-    ratio = F.abs(F.ln(F.col("o_scale") / scale))
+    far = F.greatest(F.col("o_scale") / F.col("_scale"), F.col("_scale") / F.col("o_scale")) > 9.99
+    apart = (F.col("o_offset") == 0) & (F.col("_offset") == 0) & far
+    # |ln(x / middle)| < |ln(y / middle)| for positive x, y; the middle is the geometric mean of lo and hi.
     middle = F.sqrt(F.col("lo") * F.col("hi"))
-    off = lambda v: F.abs(F.ln(v / middle))
-    apart = (F.col("o_offset") == 0) & (offset == 0) & (ratio > math.log(9.99))
+    off = lambda v: F.greatest(F.try_divide(v, middle), F.try_divide(middle, v))
     nearer = (F.col("value") > 0) & (off(as_other) < off(as_said)) & possible(as_other)
     closer = ~possible(as_said) & possible(as_other)
-    by_size = F.col("u1").isNull() & F.col("o_unit").isNotNull() & (said != F.col("o_unit")) & F.when(apart, nearer).otherwise(closer)
-    by_size = F.coalesce(by_size, F.lit(False))
-    return rows.withColumn("recorded_unit", F.when(by_size, F.col("o_unit")).otherwise(said)).withColumn(
-        "common_value", F.when(by_size, as_other).when(F.col("common_unit").isNotNull(), as_said)
-    ).drop("_type", "_t1", "_t2", "_s1", "_s2", "_in_text", "_in_uom", "u1", "u2", "a1", "a2", "b1", "b2", "o_unit", "o_scale", "o_offset", "quantity", "lo", "hi")
+    by_size = F.col("u1").isNull() & F.col("o_unit").isNotNull() & (F.col("_said") != F.col("o_unit")) & F.when(apart, nearer).otherwise(closer)
+    rows = rows.withColumn("_by_size", F.coalesce(by_size, F.lit(False)))
+    return rows.withColumn("recorded_unit", F.when(F.col("_by_size"), F.col("o_unit")).otherwise(F.col("_said"))).withColumn(
+        "common_value", F.when(F.col("_by_size"), as_other).when(F.col("common_unit").isNotNull(), as_said)
+    ).drop("_type", "_t1", "_t2", "_s1", "_s2", "_in_text", "_in_uom", "u1", "u2", "a1", "a2", "b1", "b2", "o_unit", "o_scale", "o_offset", "quantity", "lo", "hi",
+           "_said", "_scale", "_offset", "_as_said", "_as_other", "_by_size")

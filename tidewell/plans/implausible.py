@@ -18,14 +18,15 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
     features = table(spark, sf, "features").where(F.col("type").isin(*VITALS) & F.col("value_num").isNotNull())
     items = table(spark, sf, "item_dim")
     # One row for each of the few types.
-    limits = items.dropDuplicates(["type"]).select("type", "lo", "hi")
+    floors = spark.createDataFrame(sorted(VITALS.items()), "type string, floor double")
+    limits = items.dropDuplicates(["type"]).select("type", "lo", "hi").join(floors, "type")
     rows = to_common(features.select("event_id", "stay_id", "type", "time", "storetime", "value_num", "value_txt", "uom"), items)
-    rows = rows.where("common_value is not null").join(F.broadcast(limits), "type")
-    floor = F.element_at(F.create_map(*[F.lit(x) for pair in VITALS.items() for x in pair]), F.col("type"))
+    # Tested on the unit, not on the value: a filter on a computed value would compute it twice.
+    rows = rows.where("common_unit is not null").join(F.broadcast(limits), "type")
     readings = rows.select(
         F.col("event_id").alias("row_id"), F.when(F.col("stay_id").isNotNull(), F.struct("stay_id", "type")).alias("source"),
         micros("time").alias("at_us"), micros("storetime").alias("stored_us"), F.round("common_value", 6).alias("value"),
-        F.col("common_value").between(F.col("lo"), F.col("hi")).alias("possible"), floor.alias("floor"))
+        F.col("common_value").between(F.col("lo"), F.col("hi")).alias("possible"), "floor")
     return score_readings(readings).withColumnRenamed("row_id", "event_id")
 
 
