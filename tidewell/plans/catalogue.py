@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewell.plans import common_units, event_stream, implausible, known_at, periods, person_splits, trailing
+from tidewell.plans import common_units, event_stream, implausible, known_at, periods, person_splits, timelines, trailing
 
-_MODULES = (event_stream, periods, person_splits, implausible, known_at, common_units, trailing)
+_MODULES = (event_stream, timelines, periods, person_splits, implausible, known_at, common_units, trailing)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

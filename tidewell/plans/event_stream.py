@@ -79,7 +79,7 @@ def episode_linkage(spark: SparkSession, sf: str) -> DataFrame:
     two = first_match(one, stays, ["subject_id"], "study_id", "at", "s", "e", ["s", "stay_id"])
     kind = F.when(F.col("at").isNull(), "UNKNOWN").when(F.col("stay_id").isNotNull(), "ICU").when(F.col("hadm_id").isNotNull(), "INPATIENT").otherwise("OUTPATIENT")
     return two.select("study_id", "hadm_id", F.col("stay_id").alias("icu_stay_id"), kind.alias("encounter_type"),
-                      F.round((F.col("at") - F.col("admitted")) / F.lit(3.6e9), 2).alias("hours_from_admit"))
+                      F.round((F.col("at") - F.col("admitted")) / F.lit(3.6e9), 4).alias("hours_from_admit"))
 
 
 def views_agg(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +122,7 @@ a AS (SELECT s.study_id, hadm_id, admittime, row_number() OVER (PARTITION BY s.s
 i AS (SELECT s.study_id, stay_id, row_number() OVER (PARTITION BY s.study_id ORDER BY intime, stay_id) AS n FROM s JOIN (SELECT DISTINCT subject_id, stay_id, intime, outtime FROM icu_stays) i
   ON i.subject_id = s.subject_id AND w >= intime AND (outtime IS NULL OR w <= outtime))
 SELECT s.study_id, hadm_id, stay_id AS icu_stay_id, CASE WHEN w IS NULL THEN 'UNKNOWN' WHEN stay_id IS NOT NULL THEN 'ICU' WHEN hadm_id IS NOT NULL THEN 'INPATIENT' ELSE 'OUTPATIENT' END AS encounter_type,
-  round((epoch_us(w) - epoch_us(admittime))::DOUBLE / 3.6e9, 2) AS hours_from_admit
+  round((epoch_us(w) - epoch_us(admittime))::DOUBLE / 3.6e9, 4) AS hours_from_admit
 FROM s LEFT JOIN a ON a.study_id = s.study_id AND a.n = 1 LEFT JOIN i ON i.study_id = s.study_id AND i.n = 1""",
     "views_agg": """WITH r AS (SELECT DISTINCT subject_id, study_id, views FROM cxr_studies WHERE subject_id IS NOT NULL), v AS (SELECT subject_id, study_id, unnest(string_split(views, '|')) AS view FROM r)
 SELECT subject_id, coalesce((SELECT string_agg(DISTINCT view, '|' ORDER BY view) FROM v WHERE v.subject_id = r.subject_id), '') AS views, count(DISTINCT study_id) AS studies FROM r GROUP BY subject_id""",
