@@ -45,18 +45,21 @@ def valid_at(
     `events` has (entity, at_us), distinct; `attributes` holds the columns named in
     `valid_from` and `valid_to` (microseconds, half-open) and an `entity` column. Intervals
     are at most `longest_us` long. Null entities, times and bounds and empty intervals match
-    nothing. Copies of an attribute row with one `salt_by` value fall into one part.
+    nothing. Repeated attribute rows match repeatedly; those with one `salt_by` value fall into
+    one part. A column of `attributes` named like `at_us` is dropped, names that begin with `_va_`
+    are reserved. Empty inputs give an empty result.
     """
+    attributes = attributes.drop(at_us)
     levels = max(1, ((longest_us >> grain) + 1).bit_length())
-    span = attributes.withColumn("_from", valid_from).withColumn("_to", valid_to).where("_from < _to").where(F.col(entity).isNotNull())
+    span = attributes.withColumn("_va_from", valid_from).withColumn("_va_to", valid_to).where("_va_from < _va_to").where(F.col(entity).isNotNull())
     asks = events.where(F.col(entity).isNotNull() & F.col(at_us).isNotNull())
     # Rows of entities and stretches of time without any event needn't be shuffled. A stretch is as long as
     # the longest interval, so an interval meets at most two.
-    near = asks.select(F.col(entity), F.explode(F.array(F.expr(f"{at_us} div {longest_us}"), F.expr(f"{at_us} div {longest_us} - 1"))).alias("_stretch"))
-    span = may_contain(span, [F.col(entity), F.expr(f"_from div {longest_us}")], near, prefilter_bits)
+    near = asks.select(F.col(entity), F.explode(F.array(F.expr(f"{at_us} div {longest_us}"), F.expr(f"{at_us} div {longest_us} - 1"))).alias("_va_stretch"))
+    span = may_contain(span, [F.col(entity), F.expr(f"_va_from div {longest_us}")], near, prefilter_bits)
     part = F.pmod(F.xxhash64(salt_by), F.lit(salts)) if salt_by else F.pmod(F.xxhash64(*attributes.columns), F.lit(salts))
-    nodes = span.withColumn("_part", part.cast("int")).withColumn("_node", F.explode(dyadic_cover(F.col("_from"), F.col("_to"), grain, levels)))
-    asked = asks.select(F.col(entity), F.col(at_us), F.explode(enclosing_nodes(F.col(at_us), grain, levels)).alias("_node")).withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = nodes.join(asked, [entity, "_node", "_part"])
-    return joined.where(F.col(at_us).between(F.col("_from"), F.col("_to") - 1)).drop("_node", "_part", "_from", "_to")
+    nodes = span.withColumn("_va_part", part.cast("int")).withColumn("_va_node", F.explode(dyadic_cover(F.col("_va_from"), F.col("_va_to"), grain, levels)))
+    asked = asks.select(F.col(entity), F.col(at_us), F.explode(enclosing_nodes(F.col(at_us), grain, levels)).alias("_va_node")).withColumn(
+        "_va_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = nodes.join(asked, [entity, "_va_node", "_va_part"])
+    return joined.where(F.col(at_us).between(F.col("_va_from"), F.col("_va_to") - 1)).drop("_va_node", "_va_part", "_va_from", "_va_to")

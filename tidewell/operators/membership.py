@@ -16,14 +16,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 def may_contain(df: DataFrame, key: list[Column], keys: DataFrame, bits: int = 24) -> DataFrame:
     """The rows of `df` whose `key` may be among the rows of `keys` (same column types, in order).
 
-    A null in the key counts as a value. With no keys the result is empty.
+    A null in the key counts as a value. With no keys the result is empty. Names that begin
+    with `_mc_` are reserved.
     """
     spot = lambda cols: F.xxhash64(*cols).bitwiseAND(F.lit((1 << bits) - 1))
     words = (
-        keys.select(spot([F.col(c) for c in keys.columns]).alias("_p")).distinct()
-        .groupBy(F.shiftright("_p", 6).alias("_w"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(_p & 63 as int)))").alias("_word"))
+        keys.select(spot([F.col(c) for c in keys.columns]).alias("_mc_p")).distinct()
+        .groupBy(F.shiftright("_mc_p", 6).alias("_mc_w"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(_mc_p & 63 as int)))").alias("_mc_word"))
     )
-    marked = df.withColumn("_p", spot(key)).withColumn("_w", F.shiftright("_p", 6))
-    hit = marked.join(F.broadcast(words), "_w")
-    return hit.where(F.expr("(shiftrightunsigned(_word, cast(_p & 63 as int)) & 1) = 1")).drop("_p", "_w", "_word")
+    marked = df.withColumn("_mc_p", spot(key)).withColumn("_mc_w", F.shiftright("_mc_p", 6))
+    hit = marked.join(F.broadcast(words), "_mc_w")
+    return hit.where(F.expr("(shiftrightunsigned(_mc_word, cast(_mc_p & 63 as int)) & 1) = 1")).drop("_mc_p", "_mc_w", "_mc_word")

@@ -109,8 +109,8 @@ def _tables(spark: SparkSession, items: DataFrame, edges: list) -> tuple[DataFra
         dim.append((r.type, common, r.lo, r.hi, other, *(ways[q, other, common] if other else (None, None))))
         known += [(r.type, s, u, *ways[q, u, common]) for k, u in units if k == q and (q, u, common) in ways for s in SPELLINGS[u]]
     return (
-        spark.createDataFrame(dim, "_type string, common_unit string, lo double, hi double, o_unit string, o_scale double, o_offset double"),
-        spark.createDataFrame(known, "_type string, spelling string, unit string, scale double, offset double"),
+        spark.createDataFrame(dim, "_u_type string, common_unit string, _u_lo double, _u_hi double, _u_other string, _u_oscale double, _u_ooffset double"),
+        spark.createDataFrame(known, "_u_type string, spelling string, unit string, scale double, offset double"),
     )
 
 
@@ -123,35 +123,35 @@ def to_common(df: DataFrame, items: DataFrame) -> DataFrame:
     units at least tenfold apart, if it brings the value nearer (as a ratio) to the middle of
     the item's possible range and into it; for closer units, if the value is impossible as
     written and possible in the other unit. Missing values, unknown types and unknown units
-    give null; value is value_num or, where that is null, the number in value_txt.
+    give null; value is value_num or, where that is null, the number in value_txt. Other
+    columns stay; columns with one of the new names are replaced, names that begin with `_u_` are reserved.
     `items` (type, common_uom, lo, hi) has one row for each type and is small by nature; its
     conversions are looked up on the driver and joined as small tables.
     """
+    df = df.drop("value", "recorded_unit", "common_unit", "common_value")
     dim, known = _tables(df.sparkSession, items, EDGES)
     rows = df.withColumn("value", F.coalesce("value_num", text_number(F.col("value_txt"))))
-    rows = rows.withColumn("_in_text", F.when(F.col("value_txt").rlike(r"\d"), text_unit(F.col("value_txt")))).withColumn("_in_uom", spelling(F.col("uom")))
-    by_text = known.select(F.col("_type").alias("_t1"), F.col("spelling").alias("_s1"), F.col("unit").alias("u1"), F.col("scale").alias("a1"), F.col("offset").alias("b1"))
-    by_uom = known.select(F.col("_type").alias("_t2"), F.col("spelling").alias("_s2"), F.col("unit").alias("u2"), F.col("scale").alias("a2"), F.col("offset").alias("b2"))
+    rows = rows.withColumn("_u_in_text", F.when(F.col("value_txt").rlike(r"\d"), text_unit(F.col("value_txt")))).withColumn("_u_in_uom", spelling(F.col("uom")))
+    lookup = lambda k: known.select(*[F.col(c).alias(f"_u_{n}{k}") for c, n in (("_u_type", "t"), ("spelling", "s"), ("unit", "u"), ("scale", "a"), ("offset", "b"))])
     rows = (
-        rows.join(F.broadcast(dim), rows["type"] == F.col("_type"), "left")
-        .join(F.broadcast(by_text), (F.col("type") == F.col("_t1")) & (F.col("_in_text") == F.col("_s1")), "left")
-        .join(F.broadcast(by_uom), (F.col("type") == F.col("_t2")) & (F.col("_in_uom") == F.col("_s2")), "left")
+        rows.join(F.broadcast(dim), F.col("type") == F.col("_u_type"), "left")
+        .join(F.broadcast(lookup(1)), (F.col("type") == F.col("_u_t1")) & (F.col("_u_in_text") == F.col("_u_s1")), "left")
+        .join(F.broadcast(lookup(2)), (F.col("type") == F.col("_u_t2")) & (F.col("_u_in_uom") == F.col("_u_s2")), "left")
     )
     # Each step is a column of its own, so that it is computed once.
-    rows = rows.withColumns({"_said": F.coalesce("u1", "u2", "common_unit"), "_scale": F.coalesce("a1", "a2", F.lit(1.0)), "_offset": F.coalesce("b1", "b2", F.lit(0.0))})
-    rows = rows.withColumns({"_as_said": F.col("value") * F.col("_scale") + F.col("_offset"), "_as_other": F.col("value") * F.col("o_scale") + F.col("o_offset")})
-    as_said, as_other = F.col("_as_said"), F.col("_as_other")
-    possible = lambda v: v.between(F.col("lo"), F.col("hi"))
-    far = F.greatest(F.col("o_scale") / F.col("_scale"), F.col("_scale") / F.col("o_scale")) > 9.99
-    apart = (F.col("o_offset") == 0) & (F.col("_offset") == 0) & far
-    # |ln(x / middle)| < |ln(y / middle)| for positive x, y; the middle is the geometric mean of lo and hi.
-    middle = F.sqrt(F.col("lo") * F.col("hi"))
+    rows = rows.withColumns({"_u_said": F.coalesce("_u_u1", "_u_u2", "common_unit"), "_u_scale": F.coalesce("_u_a1", "_u_a2", F.lit(1.0)), "_u_offset": F.coalesce("_u_b1", "_u_b2", F.lit(0.0))})
+    rows = rows.withColumns({"_u_as_said": F.col("value") * F.col("_u_scale") + F.col("_u_offset"), "_u_as_other": F.col("value") * F.col("_u_oscale") + F.col("_u_ooffset")})
+    as_said, as_other, low, high = F.col("_u_as_said"), F.col("_u_as_other"), F.col("_u_lo"), F.col("_u_hi")
+    possible = lambda v: v.between(low, high)
+    far = F.greatest(F.try_divide("_u_oscale", "_u_scale"), F.try_divide("_u_scale", "_u_oscale")) > 9.99
+    apart = (F.col("_u_ooffset") == 0) & (F.col("_u_offset") == 0) & far
+    # As ratios to the geometric mean of the possible range, whichever way.
+    middle = F.sqrt(F.greatest(low * high, F.lit(0.0)))
     off = lambda v: F.greatest(F.try_divide(v, middle), F.try_divide(middle, v))
     nearer = (F.col("value") > 0) & (off(as_other) < off(as_said)) & possible(as_other)
     closer = ~possible(as_said) & possible(as_other)
-    by_size = F.col("u1").isNull() & F.col("o_unit").isNotNull() & (F.col("_said") != F.col("o_unit")) & F.when(apart, nearer).otherwise(closer)
-    rows = rows.withColumn("_by_size", F.coalesce(by_size, F.lit(False)))
-    return rows.withColumn("recorded_unit", F.when(F.col("_by_size"), F.col("o_unit")).otherwise(F.col("_said"))).withColumn(
-        "common_value", F.when(F.col("_by_size"), as_other).when(F.col("common_unit").isNotNull(), as_said)
-    ).drop("_type", "_t1", "_t2", "_s1", "_s2", "_in_text", "_in_uom", "u1", "u2", "a1", "a2", "b1", "b2", "o_unit", "o_scale", "o_offset", "quantity", "lo", "hi",
-           "_said", "_scale", "_offset", "_as_said", "_as_other", "_by_size")
+    by_size = F.col("_u_u1").isNull() & F.col("_u_other").isNotNull() & (F.col("_u_said") != F.col("_u_other")) & F.when(apart, nearer).otherwise(closer)
+    rows = rows.withColumn("_u_by_size", F.coalesce(by_size, F.lit(False)))
+    rows = rows.withColumn("recorded_unit", F.when(F.col("_u_by_size"), F.col("_u_other")).otherwise(F.col("_u_said"))).withColumn(
+        "common_value", F.when(F.col("_u_by_size"), as_other).when(F.col("common_unit").isNotNull(), as_said))
+    return rows.drop(*[c for c in rows.columns if c.startswith("_u_")])
