@@ -53,7 +53,7 @@ def difference(weights: list[float], bins: int) -> list[int]:
 def _allocate(bins: list[tuple[str, float]], targets: list[tuple[str, float]]) -> dict[str, str]:
     """Whole bins to splits: heaviest first, each to the split that lacks the largest part of its target."""
     total = sum(w for _, w in bins)
-    want = {s: share * total for s, share in targets if share > 0}
+    want = {s: share * total for s, share in targets if s is not None and share}
     have = dict.fromkeys(want, 0.0)
     chosen = {}
     for b, w in sorted(bins, key=lambda p: (-p[1], p[0])):
@@ -70,7 +70,7 @@ def balanced_splits(groups: DataFrame, targets: list[tuple[str, float]], bins: i
     the number of groups. Equal weights are taken in the order of a hash of group_id, so
     the result depends on the data alone. A null weight counts as zero, a null group_id is
     left out. Repeated group_ids must be summed before. Shares are relative; a split with
-    share zero gets nothing. Without groups the result is empty.
+    share zero or null gets nothing. Without groups the result is empty.
     """
     ship(groups.sparkSession)
     rows = groups.where("group_id is not null").select("group_id", F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"))

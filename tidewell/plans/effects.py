@@ -214,7 +214,7 @@ _HASH_B = _HASH("'1-' || b || '-' || cluster")
 
 def _boot(by: str, n: int) -> str:
     return f"""s AS (SELECT {by}, cluster, sum(psi) AS s, count(psi) AS n FROM c GROUP BY 1, 2), r AS (SELECT {by}, b, s, n, {_HASH_B} AS q FROM s, range({n}) t(b)),
-bt AS (SELECT {by}, b, sum(({_WEIGHT}) * s) / sum(({_WEIGHT}) * n) AS value FROM r GROUP BY 1, 2)"""
+bt AS (SELECT {by}, b, sum(({_WEIGHT}) * s) / nullif(sum(({_WEIGHT}) * n), 0) AS value FROM r GROUP BY 1, 2)"""
 
 
 _DET = 2.8015852182
@@ -229,9 +229,9 @@ SELECT condition, round(b, 5) AS baseline, round((point + 1.9) / sqrt(se * se +
   round(CASE WHEN lo <= 0 AND hi >= 0 THEN 1.0 ELSE u2 + sqrt(u2 * (u2 - 1)) END, 4) AS e_limit FROM y""",
     "bootstrap_ci": f"{_BOTH}, {_boot('condition', 50)} SELECT condition, round(avg(value) * 100, 5) AS mean, round(stddev_samp(value) * 100, 5) AS std, round(quantile_cont(value, 0.025) * 100, 5) AS low, round(quantile_cont(value, 0.975) * 100, 5) AS high, count(value) AS replicates FROM bt GROUP BY 1",
     "paired_contrast": f"""{_BOTH}, {_boot('condition', 50)}, g AS (SELECT b, (abs(max(value) FILTER (condition = 'naive')) - abs(max(value) FILTER (condition = 'segment'))) * 100 AS gain FROM bt GROUP BY 1)
-SELECT round(avg(gain), 5) AS mean, round(stddev_samp(gain) * {S.DETECTABLE!r}, 5) AS detectable, round(least(1.0, greatest(2 * least(avg((gain >= 0)::INT), avg((gain <= 0)::INT)), 1.0::DOUBLE / count(*))), 6) AS p FROM g""",
+SELECT round(avg(gain), 5) AS mean, round(stddev_samp(gain) * {S.DETECTABLE!r}, 5) AS detectable, round(least(1.0, greatest(2 * least(avg((gain >= 0)::INT), avg((gain <= 0)::INT)), 1.0::DOUBLE / nullif(count(gain), 0))), 6) AS p FROM g""",
     "bh_fdr": f"""{_UNITS}, {_psi('naive', chr(39) + 'all' + chr(39))}, c AS (SELECT * FROM naive_p), {_boot('nation', 40)},
-p AS (SELECT nation, least(1.0, greatest(2 * least(avg((value >= 0)::INT), avg((value <= 0)::INT)), 1.0::DOUBLE / count(*))) AS p FROM bt GROUP BY 1), k AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, nation) AS raw FROM p)
+p AS (SELECT nation, least(1.0, greatest(2 * least(avg((value >= 0)::INT), avg((value <= 0)::INT)), 1.0::DOUBLE / nullif(count(value), 0))) AS p FROM bt GROUP BY 1), k AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, nation) AS raw FROM p)
 SELECT nation, round(p, 6) AS p, round(least(1.0, min(raw) OVER (ORDER BY p DESC, nation DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM k""",
     "balance": f"""{_BOTH}, l AS (SELECT a, w, unnest(['log_price', 'balance', 'lines']) AS covariate, unnest([log_price, balance, lines::DOUBLE]) AS x FROM segment_p),
 t AS (SELECT covariate, sqrt((var_samp(x) FILTER (a = 1) + var_samp(x) FILTER (a = 0)) / 2) AS sp, avg(x) FILTER (a = 1) - avg(x) FILTER (a = 0) AS d0, sum(x * w) FILTER (a = 1) / sum(w) FILTER (a = 1 AND x IS NOT NULL) - sum(x * w) FILTER (a = 0) / sum(w) FILTER (a = 0 AND x IS NOT NULL) AS d1, count(x)::DOUBLE / count(*) AS filled FROM l GROUP BY 1)
