@@ -105,7 +105,7 @@ def pack(items: DataFrame, capacities: DataFrame, key: str, size: str, salts: in
     packs = capacities.select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity")).where("pack_name is not null and capacity > 0").distinct()
     rows = items.where(F.col(key).isNotNull() & (F.col(size) > 0)).select(F.col(key).alias("_key"), F.col(size).cast("long").alias("_size"))
     # The packs are a handful of names by nature; each item is written out once for each of them.
-    choices = F.array(*[F.struct(F.lit(r.pack_name).alias("pack_name"), F.lit(r.capacity).alias("capacity")) for r in sorted(packs.collect())])
+    choices = F.array(*[F.struct(F.lit(r.pack_name).alias("pack_name"), F.lit(r.capacity).alias("capacity")) for r in sorted(packs.collect())]).cast("array<struct<pack_name: string, capacity: bigint>>")
     each = rows.select("_key", "_size", F.inline(choices))
     cut = each.withColumn("_full", F.when(F.col("_size") > F.col("capacity"), F.expr("_size div capacity")).otherwise(0)).withColumn("_rest", F.col("_size") - F.col("_full") * F.col("capacity"))
     full = cut.where("_full > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_full") - 1))).select(

@@ -91,8 +91,8 @@ def content_words(documents: DataFrame, labels: DataFrame, areas: list[str], key
     rates = {a: F.col(f"n_{a}") / F.lit(float(max(1, size.get(a, 0)))) for a in kinds}
     total = sum(rates.values(), F.lit(0.0))
     shares = seen.where(F.col("n") >= least).select("word", "n", *[(rates[a] / total).alias(a) for a in kinds])
-    sure = F.greatest(*areas) - 1.2 / F.sqrt(F.col("n"))
-    return shares.where((sure > 0.25) & (F.greatest(*areas) > F.col("none"))).drop("none").orderBy(F.desc("n"), "word").limit(WORDS).toPandas()
+    sure = F.greatest(F.lit(0.0), *areas) - 1.2 / F.sqrt(F.col("n"))
+    return shares.where((sure > 0.25) & (F.greatest(F.lit(0.0), *areas) > F.col("none"))).drop("none").orderBy(F.desc("n"), "word").limit(WORDS).toPandas()
 
 
 def word_table(documents: DataFrame, lexicon: pd.DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,7 +176,7 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: list[str], key
     Equal documents get equal areas. Other columns are ignored.
     """
     taught = cut(clean_labels(labels, areas, key))
-    lexicon = content_words(documents, taught, areas, key, text)
+    lexicon = content_words(documents, taught, areas, key, text) if areas else pd.DataFrame()
     if lexicon.empty:
         return documents.select(key).where(F.lit(False)).select(key, F.lit("").alias("area"), F.lit(0.0).alias("topic_share"), F.lit(0.0).alias("word_share"))
     table = cut(word_table(documents, lexicon, key, text))
