@@ -50,21 +50,35 @@ def lookback(index: DataFrame, events: DataFrame, key: list[str], t0: str, at: s
     return near_join(index, events, key, t0, at, back_us, 0).where(F.col(at) < F.col(t0))
 
 
-def asof_backward(left: DataFrame, right: DataFrame, key: list[str], at: str, other: str, value: str, tolerance_us: int | None = None, tie: str | None = None) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, key: list[str], at: str, other: str, value: str, tolerance_us: int | None = None, tie: str | None = None, bucket_us: int = 30 * DAY) -> DataFrame:
     """`left` with `value` (and its time, as `other`) of the last row of `right` at or before `at`.
 
     An exact match counts. Rows of `right` with a null value are left out. Of several at one
     time the one with the largest `tie` (else value) is taken. Beyond the tolerance, and
-    without a match, value and time are null. `left` keeps all its rows, repeated ones too.
+    without a match, value and time are null. `left` keeps all its rows, repeated ones and ones
+    with null keys or times too.
+
+    The sorted pass runs in each (key, time bucket), so that a key with most of the rows is
+    shared by many tasks; what a bucket inherits is the last mark of the buckets before it, found
+    among one row for each bucket.
     """
+    bucket = lambda c: F.floor(F.col(c) / bucket_us)
     pack = F.struct(F.col(other).alias("t"), F.col(tie or value).alias("tie"), F.col(value).alias("v"))
     marks = right.where(F.col(value).isNotNull() & F.col(other).isNotNull()).select(*key, F.col(other).alias("_at"), F.lit(0).alias("_side"), pack.alias("_m"))
-    marks = marks.withColumn("_tie", F.col("_m.tie"))
-    asks = left.select(*key, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"))
-    both = marks.unionByName(asks, allowMissingColumns=True)
-    upto = Window.partitionBy(*key).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = marks.withColumn("_tie", F.col("_m.tie")).withColumn("_bucket", bucket("_at"))
+    asks = left.select(*key, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_row")).withColumn("_bucket", bucket("_at"))
+    earlier = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = marks.select(*key, "_bucket", "_m").unionByName(asks.select(*key, "_bucket").distinct(), allowMissingColumns=True)
+    ends = ends.groupBy(*key, "_bucket").agg(F.max("_m").alias("_end")).withColumn("_carry", F.last("_end", ignorenulls=True).over(earlier))
+    heads = ends.where("_carry is not null").select(*key, "_bucket", F.lit(-(2**62)).alias("_at"), F.lit(-1).alias("_side"), F.col("_carry").alias("_m"))
+    both = marks.unionByName(asks, allowMissingColumns=True).unionByName(heads, allowMissingColumns=True)
+    upto = Window.partitionBy(*key, "_bucket").orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     got = both.withColumn("_m", F.last("_m", ignorenulls=True).over(upto)).where("_side = 1")
-    near = F.lit(True) if tolerance_us is None else F.col("_at") - F.col("_m.t") <= tolerance_us
+    # A row without key or time follows nothing.
+    known = F.col("_at").isNotNull()
+    for k in key:
+        known = known & F.col(k).isNotNull()
+    near = known if tolerance_us is None else known & (F.col("_at") - F.col("_m.t") <= tolerance_us)
     return got.select("_row.*", F.when(near, F.col("_m.v")).alias(value), F.when(near, F.col("_m.t")).alias(other))
 
 
@@ -79,14 +93,19 @@ def first_match(points: DataFrame, intervals: DataFrame, key: list[str], point_i
     return points.join(best, point_id, "left")
 
 
-def first_crossing(events: DataFrame, key: list[str], at: str, amount: str, threshold: float, tie: str) -> DataFrame:
+def first_crossing(events: DataFrame, key: list[str], at: str, amount: str, threshold: float, tie: str, bucket_us: int = 30 * DAY) -> DataFrame:
     """(key, crossed_at): when the running total of `amount` first reaches the threshold.
 
-    Null amounts add nothing; keys that never reach it have no row.
+    Null amounts add nothing, rows with a null time are left out; keys that never reach it have no
+    row. Totals run within (key, time bucket) on top of what the buckets before add up to, which
+    is one row for each bucket, so that no key is summed by a single task.
     """
-    upto = Window.partitionBy(*key).orderBy(at, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = events.withColumn("_sum", F.sum(amount).over(upto))
-    return total.where(F.col("_sum") >= threshold).groupBy(*key).agg(F.min(at).alias("crossed_at"))
+    rows = events.where(F.col(at).isNotNull()).withColumn("_bucket", F.floor(F.col(at) / bucket_us))
+    earlier = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*key, "_bucket").agg(F.sum(amount).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(earlier), F.lit(0.0))).drop("_s")
+    upto = Window.partitionBy(*key, "_bucket").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = rows.withColumn("_sum", F.coalesce(F.sum(amount).over(upto), F.lit(0.0))).join(sums, [*key, "_bucket"])
+    return same.where(F.col("_sum") + F.col("_before") >= threshold).groupBy(*key).agg(F.min(at).alias("crossed_at"))
 
 
 def first_row(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
