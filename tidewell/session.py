@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import zipfile
 from pathlib import Path
@@ -48,15 +49,19 @@ _SHIPPED: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once for each application.
 
-    Functions that run in tasks are found by import; executors needn't have the repository.
+    Functions that run in tasks are found by import; executors needn't have the repository. The
+    archive is written to the shared folder.
     """
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
-    root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="spark-")) / "tidewell.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    root, archive = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for source in sorted(root.rglob("*.py")):
             z.write(source, source.relative_to(root.parent))
-    context.addPyFile(str(target))
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{context.applicationId}/tidewell.zip")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(archive.getvalue()))
+    out.close()
+    context.addPyFile(str(target.toString()))
     _SHIPPED.add(context.applicationId)
