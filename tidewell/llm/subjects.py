@@ -39,9 +39,9 @@ class Limits:
     #: Share of the topic proportions from which an area is proposed.
     proposed: float = 0.03
     #: Share of the page's area words that confirms it.
-    confirmed: float = 0.27
-    #: Area words a page needs at all.
-    least_words: float = 1.5
+    confirmed: float = 0.19
+    #: Words of the area that a page needs, counted with their certainty: one sure word is enough, one doubtful word isn't.
+    least_words: float = 0.9
 
 
 def own_text(text: str | None) -> list[str]:
@@ -92,7 +92,7 @@ def content_words(documents: DataFrame, labels: DataFrame, areas: list[str], key
     total = sum(rates.values(), F.lit(0.0))
     shares = seen.where(F.col("n") >= least).select("word", "n", *[(rates[a] / total).alias(a) for a in kinds])
     sure = F.greatest(F.lit(0.0), *areas) - 1.2 / F.sqrt(F.col("n"))
-    return shares.where((sure > 0.25) & (F.greatest(F.lit(0.0), *areas) > F.col("none"))).drop("none").orderBy(F.desc("n"), "word").limit(WORDS).toPandas()
+    return shares.where((sure > 0.25) & (F.greatest(F.lit(0.0), *areas) > 3 * F.col("none"))).drop("none").orderBy(F.desc("n"), "word").limit(WORDS).toPandas()
 
 
 def word_table(documents: DataFrame, lexicon: pd.DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,8 +112,12 @@ def fit_topics(table: DataFrame, lexicon: pd.DataFrame, topics: int = 72, iterat
     return pd.DataFrame(matrix / matrix.sum(axis=1, keepdims=True), columns=lexicon["word"].tolist())
 
 
-def topic_areas(topics: pd.DataFrame, lexicon: pd.DataFrame, areas: list[str], top: int = 15) -> pd.DataFrame:
-    """The areas of each topic: shares by its `top` words, each with its probability and its areas."""
+def topic_areas(topics: pd.DataFrame, lexicon: pd.DataFrame, areas: list[str], top: int = 100) -> pd.DataFrame:
+    """The areas of each topic: shares by its `top` words, each with its probability and its areas.
+
+    A topic may hold the words of two areas, one less frequent than the other; so more words are
+    inspected than its first few.
+    """
     share = lexicon.set_index("word")[areas]
     rows = []
     for _, t in topics.iterrows():
@@ -129,7 +133,7 @@ def assign(table: DataFrame, lexicon: pd.DataFrame, topics: pd.DataFrame, of_top
     The topic proportions of a document are inferred with the topics held fixed (a few rounds
     of expectation and maximisation); areas whose part reaches `proposed` are candidates. A candidate
     stays if its share among the area words of the page reaches `confirmed`, and the page has
-    at least `least_words` such words (counted with their certainty).
+    at least `least_words` of its words (counted with their certainty).
     """
     import numpy as np
 
@@ -161,7 +165,7 @@ def assign(table: DataFrame, lexicon: pd.DataFrame, topics: pd.DataFrame, of_top
                 spoken = np.add.reduceat(speaks[flat] * counts[:, None], starts, axis=0)
                 total = spoken.sum(axis=1, keepdims=True)
                 confirmed = spoken / np.maximum(total, 1e-6)
-                take = (shares >= limits.proposed) & (confirmed >= limits.confirmed) & (total >= limits.least_words)
+                take = (shares >= limits.proposed) & (confirmed >= limits.confirmed) & (spoken >= limits.least_words)
                 d, a = np.nonzero(take)
                 yield pd.DataFrame({key: part[key].to_numpy()[d], "area": names[a], "topic_share": shares[d, a].astype(float), "word_share": confirmed[d, a].astype(float)})
 
@@ -185,6 +189,6 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: list[str], key
 
 
 def at_most_two(assigned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The two areas of each document with the largest word share (a share above 0.27 leaves three at most)."""
+    """The two areas of each document with the largest word share."""
     order = Window.partitionBy(key).orderBy(F.desc("word_share"), F.desc("topic_share"), "area")
     return assigned.withColumn("_rank", F.row_number().over(order)).where("_rank <= 2").drop("_rank")
