@@ -39,7 +39,7 @@ class Rules:
     steps: float = 5.0
     #: ... enters and leaves with this part of its height at once, and lasts at most so many runs and readings.
     abrupt: float = 0.6
-    longest: int = 3
+    longest: int = 2
     readings: int = 4
     #: A stuck run has at least so many readings, and so many times the longest other run of its source.
     stuck: int = 8
