@@ -32,15 +32,16 @@ def mean_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:
     return running_sums(counts, [value], ["n"]).select(value, "n", (F.col("run_n") - (F.col("n") - 1) / 2.0).alias(rank))
 
 
-def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
+def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """(n_pos, n_neg, auroc): area under the ROC curve, ties counted half; null with one class only."""
     return _curve(df, score, label)[0]
 
 
 def _curve(df: DataFrame, score: str, label: str) -> tuple[DataFrame, DataFrame]:
-    clean = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    at = clean.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    run = running_sums(at, [score], ["pos", "neg"])
+    """The ROC summary, and positives and negatives up to each distinct score."""
+    clean = df.select(F.col(score).alias("_score"), F.col(label).cast("long").alias("_label")).dropna()
+    at = clean.groupBy("_score").agg(F.sum("_label").alias("pos"), F.sum(1 - F.col("_label")).alias("neg"))
+    run = running_sums(at, ["_score"], ["pos", "neg"])
     total = run.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
                     F.sum(F.col("pos").cast("double") * (F.col("run_neg") - F.col("neg") / 2.0)).alias("_won"))
     roc = total.select("n_pos", "n_neg", F.try_divide("_won", F.col("n_pos").cast("double") * F.col("n_neg")).alias("auroc"))
@@ -51,9 +52,10 @@ def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """(n_pos, average_precision): precision at each distinct score, weighted by the recall it adds."""
     _, run = _curve(df, score, label)
     # Thresholds go from the largest score down.
-    whole = run.agg(F.sum("pos").alias("p"), F.sum("neg").alias("m"))
-    down = run.join(F.broadcast(whole)).withColumn("tp", F.col("p") - F.col("run_pos") + F.col("pos")).withColumn("fp", F.col("m") - F.col("run_neg") + F.col("neg"))
-    return down.agg(F.first("p").alias("n_pos"), F.sum(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")) * F.col("pos") / F.col("p")).alias("average_precision"))
+    whole = run.agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    down = run.join(F.broadcast(whole)).withColumn("tp", F.col("_pos") - F.col("run_pos") + F.col("pos")).withColumn("fp", F.col("_neg") - F.col("run_neg") + F.col("neg"))
+    precision = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))
+    return down.agg(F.first("_pos").alias("n_pos"), F.sum(precision * F.try_divide("pos", "_pos")).alias("average_precision"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
