@@ -97,3 +97,23 @@ def test_long_source_in_stretches_is_judged_like_in_one(spark):
     rows = _series(values)
     cut = _reasons(spark, rows, stretch_days=20, overlap_days=3)
     assert {k for k, v in cut.items() if v == "spike"} == {100, 777, 1444, 1969} and len(cut) == 2000
+
+
+def test_a_series_longer_than_a_block_is_judged_in_pieces(spark, monkeypatch):
+    import pandas as pd
+
+    from tidewell.operators import spikes as K
+
+    rng = np.random.default_rng(5)
+    values = (80 + rng.integers(-4, 5, 3000)).astype(float)
+    at = [3, 499, 500, 501, 1111, 2990]
+    values[at] = 150
+    frame = pd.DataFrame({"series": np.r_[np.zeros(3000), np.ones(40)].astype(int), "row_id": np.arange(3040), "at_us": np.arange(3040) * HOUR, "stored_us": 0, "value": np.r_[values, np.full(40, 70.0)],
+                          "floor": 1.0, "possible": True, "known": True, "own": True})
+    frame = pd.concat([frame, frame.iloc[[499, 700]]]).sort_values(["series", "at_us", "row_id"], ignore_index=True)
+    monkeypatch.setattr(K, "BLOCK", 400)
+    got = pd.concat(K._judge_sorted((frame.iloc[k : k + 130] for k in range(0, len(frame), 130)), Rules()))
+    assert sorted(got["row_id"]) == list(range(3040))
+    assert set(got[got.reason == "spike"]["row_id"]) >= {3, 1111, 2990}
+    whole = K._verdicts(frame, Rules())
+    assert set(got[got.reason == "spike"]["row_id"]) == set(whole[whole.reason == "spike"]["row_id"])

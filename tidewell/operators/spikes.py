@@ -7,8 +7,8 @@ against the source, its difference to what comes before and after, its differenc
 same time of day, and the length of the run. Every reading gets the score of its run.
 
 Forests of many sources are grown together, level by level, as array operations over all of
-them; a task gets a bucket of sources and never works on them one by one. Series are cut
-into stretches of time that overlap, so that a source of any length is spread over buckets.
+them; a task never works on them one by one. Series are cut into stretches of time that
+overlap, so that a long source is spread over tasks.
 Readings with a high score are then held against exact rules: a spike leaves the level on both
 sides abruptly and returns within a few readings; a stuck run is far longer than any other of
 its source. Physical limits are applied to every reading apart from that.
@@ -16,6 +16,7 @@ its source. Physical limits are applied to every reading apart from that.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -191,6 +192,56 @@ def judge(source: np.ndarray, at_us: np.ndarray, value: np.ndarray, floor: np.nd
     return score[unit], spike[unit], stuck[unit]
 
 
+#: Readings judged at once, and readings of a longer series that are kept as context for its next piece.
+BLOCK, CONTEXT, PENDING = 100_000, 256, 64
+
+
+def _verdicts(pdf: pd.DataFrame, rules: Rules) -> pd.DataFrame:
+    """(row_id, score, reason) of the rows to report among readings sorted by (series, time, row_id, storing time)."""
+    row, series = pdf["row_id"].to_numpy(), pdf["series"].to_numpy()
+    pdf = pdf[np.r_[True, (row[1:] != row[:-1]) | (series[1:] != series[:-1])]]
+    judged = (pdf["possible"] & pdf["known"]).to_numpy()
+    score, reason = np.where(pdf["possible"], 0.5, 1.0), np.where(pdf["possible"], None, "limit").astype(object)
+    if judged.any():
+        part = pdf[judged]
+        got, spike, stuck = judge(part["series"].to_numpy(), part["at_us"].to_numpy(), part["value"].to_numpy(), part["floor"].to_numpy(), rules)
+        score[judged] = got
+        reason[judged] = np.where(stuck, "stuck", np.where(spike, "spike", None))
+    return pd.DataFrame({"row_id": pdf["row_id"], "score": score, "reason": reason})[pdf["own"].to_numpy()]
+
+
+def _judge_sorted(batches: Iterator[pd.DataFrame], rules: Rules) -> Iterator[pd.DataFrame]:
+    """Verdicts of one partition, block by block, whole series together.
+
+    A series that doesn't fit into a block is judged in pieces: the last readings of a piece
+    wait for the next one, which sees the readings before them as context.
+    """
+    held: list[pd.DataFrame] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size < BLOCK:
+            continue
+        block = pd.concat(held, ignore_index=True)
+        series = block["series"].to_numpy()
+        other = series[::-1] != series[-1]
+        last = len(series) - int(np.argmax(other)) if other.any() else 0
+        if last:
+            yield _verdicts(block.iloc[:last], rules)
+        rest = block.iloc[last:]
+        if len(rest) >= BLOCK:
+            own = rest["own"].to_numpy()
+            now, later = own.copy(), own.copy()
+            now[-PENDING:] = False
+            later[:-PENDING] = False
+            yield _verdicts(rest.assign(own=now), rules)
+            rest = rest.assign(own=later).iloc[-(CONTEXT + PENDING) :]
+        held, size = [rest], len(rest)
+    if size:
+        yield _verdicts(pd.concat(held, ignore_index=True), rules)
+
+
 def score_readings(readings: DataFrame, stretch_days: int = 60, overlap_days: int = 6, rules: Rules = Rules()) -> DataFrame:
     """(row_id, score, reason) of each reading; reason is `limit`, `spike`, `stuck` or null.
 
@@ -199,9 +250,12 @@ def score_readings(readings: DataFrame, stretch_days: int = 60, overlap_days: in
     with one row_id that with the least stored_us counts. Impossible readings (`limit`, score 1) don't
     count as neighbours of others. Rows with a null row_id or value are left out; with a null source
     or time only the limits are applied. Readings at one time are taken in the order of row_id.
-    Sources of one or two readings get the neutral score 0.5 and no flag. A stretch of `stretch_days`
-    is judged together with `overlap_days` on both sides; runs and levels that reach farther are
-    cut there. Copies of a row must agree in source and time, so that they meet in one task.
+    Sources of one or two readings get the neutral score 0.5 and no flag. Copies of a row must agree
+    in source and time, so that they meet.
+
+    A stretch of `stretch_days` is judged together with `overlap_days` on both sides, and a longer
+    series than BLOCK readings in pieces; runs and levels that reach farther are cut there. A task
+    goes through its sorted series as a stream and holds one block, however long a series is.
     """
     ship(readings.sparkSession)
     length, margin = stretch_days * DAY, overlap_days * DAY
@@ -211,26 +265,10 @@ def score_readings(readings: DataFrame, stretch_days: int = 60, overlap_days: in
     # A reading near a border also stands in the next stretch, where it is context only.
     spans = F.array_distinct(F.array(own, F.expr(f"(at_us - {margin}) div {length}"), F.expr(f"(at_us + {margin}) div {length}")))
     rows = rows.withColumn("own", own).withColumn("stretch", F.explode(spans)).withColumn("own", F.col("own") == F.col("stretch"))
-    buckets = 16 * int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Without a source a row is a series of its own.
     series = F.when(F.col("known"), F.xxhash64("source", "stretch")).otherwise(F.xxhash64("row_id"))
-    rows = rows.withColumn("series", series).withColumn("bucket", F.pmod("series", F.lit(buckets)).cast("int"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        row, series, stored = pdf["row_id"].to_numpy(), pdf["series"].to_numpy(), pdf["stored_us"].fillna(np.iinfo(np.int64).max).to_numpy()
-        order = np.lexsort((stored, row, pdf["at_us"].to_numpy(), series))
-        pdf = pdf.iloc[order]
-        row, series = row[order], series[order]
-        pdf = pdf[np.r_[True, (row[1:] != row[:-1]) | (series[1:] != series[:-1])]]
-        judged = (pdf["possible"] & pdf["known"]).to_numpy()
-        score, reason = np.where(pdf["possible"], 0.5, 1.0), np.where(pdf["possible"], None, "limit").astype(object)
-        if judged.any():
-            part = pdf[judged]
-            got, spike, stuck = judge(part["series"].to_numpy(), part["at_us"].to_numpy(), part["value"].to_numpy(), part["floor"].to_numpy(), rules)
-            score[judged] = got
-            reason[judged] = np.where(stuck, "stuck", np.where(spike, "spike", None))
-        return pd.DataFrame({"row_id": pdf["row_id"], "score": score, "reason": reason})[pdf["own"].to_numpy()]
-
+    rows = rows.withColumn("series", series).select("series", "row_id", "at_us", "stored_us", "value", "floor", "possible", "known", "own")
+    order = ["series", "at_us", "row_id", F.asc_nulls_last("stored_us")]
     kind = dict(readings.dtypes)["row_id"]
-    return rows.select("bucket", "series", "row_id", "at_us", "stored_us", "value", "floor", "possible", "known", "own").groupBy("bucket").applyInPandas(
-        run, f"row_id {kind}, score double, reason string")
+    return rows.repartition("series").sortWithinPartitions(*order).mapInPandas(
+        lambda batches: _judge_sorted(batches, rules), f"row_id {kind}, score double, reason string")
