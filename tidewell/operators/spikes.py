@@ -198,6 +198,9 @@ BLOCK, CONTEXT, PENDING = 100_000, 256, 64
 
 def _verdicts(pdf: pd.DataFrame, rules: Rules) -> pd.DataFrame:
     """(row_id, score, reason) of the rows to report among readings sorted by (series, time, row_id, storing time)."""
+    pdf = pdf[pdf["value"].notna()]
+    if pdf.empty:
+        return pd.DataFrame({"row_id": pdf["row_id"], "score": pdf["value"], "reason": pd.Series([], dtype=object)})
     row, series = pdf["row_id"].to_numpy(), pdf["series"].to_numpy()
     pdf = pdf[np.r_[True, (row[1:] != row[:-1]) | (series[1:] != series[:-1])]]
     judged = (pdf["possible"] & pdf["known"]).to_numpy()
@@ -259,7 +262,9 @@ def score_readings(readings: DataFrame, stretch_days: int = 60, overlap_days: in
     """
     ship(readings.sparkSession)
     length, margin = stretch_days * DAY, overlap_days * DAY
-    rows = readings.where("row_id is not null and value is not null").withColumn("known", F.expr("source is not null and at_us is not null"))
+    # Null values are dropped in the tasks: a filter here would be pushed below the expressions that
+    # compute the value, and compute them twice.
+    rows = readings.where("row_id is not null").withColumn("known", F.expr("source is not null and at_us is not null"))
     rows = rows.withColumn("at_us", F.coalesce("at_us", F.lit(0)))
     own = F.expr(f"at_us div {length}")
     # A reading near a border also stands in the next stretch, where it is context only.
