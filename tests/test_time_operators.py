@@ -72,6 +72,8 @@ def test_interval_join_bounds_open_ends_and_left(spark):
     got = interval_join(events, stays, ["k"], "at", "s", "e", bucket_us=7)
     assert sorted((r["at"], r.id) for r in got.collect()) == [(10, 1), (20, 1), (20, 2), (21, 2), (400, 2)]
     assert interval_join(events, stays, ["k"], "at", "s", "e", bucket_us=7, how="left").where("id is null").count() == 2
+    blank = events.withColumn("note", F.lit(None).cast("string"))
+    assert interval_join(blank, stays, ["k"], "at", "s", "e", bucket_us=7, how="left").count() == 7
 
 
 def test_first_match_and_crossing(spark):

@@ -28,8 +28,12 @@ def interval_join(events: DataFrame, intervals: DataFrame, key: list[str], at: s
     inside = marked.join(spans, [*key, "_bucket"], how="inner").where((F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) <= F.col(end)))).drop("_bucket")
     if how == "inner":
         return inside
-    rest = events.join(inside.select(*events.columns).distinct(), events.columns, "left_anti")
-    return inside.unionByName(rest, allowMissingColumns=True)
+    # Null-safe, so that a row with a null anywhere isn't taken for one without an interval.
+    met = inside.select(*[F.col(c).alias(f"_met_{c}") for c in events.columns]).distinct()
+    same = F.lit(True)
+    for c in events.columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_met_{c}"))
+    return inside.unionByName(events.join(met, same, "left_anti"), allowMissingColumns=True)
 
 
 def near_join(left: DataFrame, right: DataFrame, key: list[str], at: str, other: str, before_us: int, after_us: int) -> DataFrame:
