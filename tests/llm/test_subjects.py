@@ -83,3 +83,10 @@ def test_no_documents_and_no_labels(corpus):
     docs, labels, _ = corpus
     assert S.subject_areas(docs.limit(0), labels, AREAS).count() == 0
     assert S.subject_areas(docs, labels.limit(0), AREAS).count() == 0
+
+
+def test_only_the_teaser_is_cut():
+    line = "Read next: Trial / memory leak Home · Contact Notes 4 the goalkeeper stood there. © 5 x.example"
+    assert S.own_text(line) == ["home", "contact", "notes", "the", "goalkeeper", "stood", "there", "example"]
+    assert S.own_text("bail\nLesen Sie auch: Kurs / Offener Port\njudge") == ["bail", "judge"]
+    assert S.own_text("bail. À lire aussi : Rupture de contrat / juge © 71 host") == ["bail", "host"]

@@ -28,8 +28,9 @@ from tidewell.session import cut, ship
 LABELLED = 20_000
 #: Words kept, at most: the bound of everything that goes to the executors.
 WORDS = 12_000
-#: How a page announces other pages.
-_TEASER = re.compile(r"(?:Read next|Lesen Sie auch|lire aussi|Lea tambi.{1,2}n|Читайте также)\s?:[^\n©]*", re.IGNORECASE)
+#: How a page announces other pages, two titles with a slash between. Where the page has no line breaks, the
+#: second title ends with its last lower-case word.
+_TEASER = re.compile(r"(?i:Read next|Lesen Sie auch|lire aussi|Lea tambi.{1,2}n|Читайте также)\s?:[^\n©/]{1,60}(?:/(?:[^\n©]{1,60}(?=\n|©|$)|\s*\S+(?:\s[a-zа-яёß-ÿ]\S*)*))?")
 
 
 @dataclass(frozen=True)
