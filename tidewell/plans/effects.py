@@ -200,7 +200,6 @@ _SUMS = "count(*) AS n, sum(a) AS sa, sum(d) AS sd, count(*) FILTER (a = 1 AND d
 
 def _psi(name: str, segment: str) -> str:
     """psi of one condition: rates of the other folds within `segment`."""
-    rate = lambda x, y: f"sum({x}) OVER w::DOUBLE / sum({y}) OVER w"
     return f"""{name}_g AS (SELECT {segment} AS seg, fold, {_SUMS} FROM u GROUP BY 1, 2),
 {name}_t AS (SELECT a.seg, a.fold, sum(b.sa)::DOUBLE / sum(b.n) AS e, sum(b.y1)::DOUBLE / sum(b.n1) AS m1, sum(b.y0)::DOUBLE / sum(b.n0) AS m0, sum(b.sd)::DOUBLE / sum(b.n) AS kc FROM {name}_g a JOIN {name}_g b ON a.seg = b.seg AND a.fold <> b.fold GROUP BY 1, 2),
 {name}_p AS (SELECT '{name}' AS condition, u.*, e, (m1 - m0) + d / kc * (a * (y - m1) / e - (1 - a) * (y - m0) / (1 - e)) AS psi, e * (1 - e) AS h,
@@ -217,7 +216,6 @@ def _boot(by: str, n: int) -> str:
 bt AS (SELECT {by}, b, sum(({_WEIGHT}) * s) / nullif(sum(({_WEIGHT}) * n), 0) AS value FROM r GROUP BY 1, 2)"""
 
 
-_DET = 2.8015852182
 _IF = "avg(psi) * 100 AS point, stddev_samp(psi) / sqrt(count(psi)) * 100 AS se, 1.959963984540054::DOUBLE AS z"
 ORACLES = {
     "effects": f"""{_BOTH} SELECT condition, round(avg(psi) * 100, 5) AS point, round(stddev_samp(psi) / sqrt(count(psi)) * 100, 5) AS se, round(avg(psi) * 100 - 1.959963984540054 * stddev_samp(psi) / sqrt(count(psi)) * 100, 5) AS low,
