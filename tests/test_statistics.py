@@ -65,6 +65,27 @@ def test_bootstrap_is_paired_and_centred(spark):
     assert b.equals(E.bootstrap(df.repartition(5), "v", "keep", "cluster", 30).orderBy("b").toPandas()) or np.allclose(b.sort_values("b")["value"], E.bootstrap(df, "v", "keep", "cluster", 30).toPandas().sort_values("b")["value"])
 
 
+def test_one_strong_nation_survives_correction(spark):
+    from tidewell.plans.effects import REPLICATES, _nation_fdr
+
+    rows = [(k, k % 500, k % 25, (k // 25) % 2) for k in range(5000)]
+    df = spark.createDataFrame(rows, "id bigint, cluster bigint, nation int, a int").withColumns(
+        {"d": F.lit(1), "y": F.when(F.col("nation") == 3, F.col("a")).otherwise((E.hash_unit(F.col("id")) < 0.5).cast("int"))})
+    q = {r.nation: r.q for r in _nation_fdr(df, REPLICATES).collect()}
+    assert REPLICATES >= 2000 and q[3] <= 0.05 and len(q) == 25
+    assert next(r.q for r in _nation_fdr(df, 40).collect() if r.nation == 3) > 0.05
+
+
+def test_overlap_weighted_form_has_its_own_replicates(spark):
+    df = spark.range(400).select((F.col("id") % 40).alias("c"), F.col("id").cast("double").alias("x"), (F.col("id") % 3 + 1).alias("h"))
+    rows = df.toPandas()
+    got = E.bootstrap_ratios(df, {"ato": (F.col("x"), F.col("h"))}, "c", 3).collect()
+    weights = {(r.b, r.c): r.w for r in spark.range(40).withColumnRenamed("id", "c").join(spark.range(3).withColumnRenamed("id", "b")).withColumn("w", E.poisson_weight(E.hash_unit(F.lit(1), F.col("b"), F.col("c")))).collect()}
+    for r in got:
+        w = np.array([weights[r.b, c] for c in rows["c"]])
+        assert r.ato == pytest.approx((w * rows["x"]).sum() / (w * rows["h"]).sum())
+
+
 def test_folds_partition_the_rows(spark):
     f = spark.range(5000).select(E.fold("id").alias("f")).groupBy("f").count().collect()
     assert sorted(r.f for r in f) == [0, 1, 2, 3, 4] and min(r["count"] for r in f) > 800

@@ -98,11 +98,28 @@ def bootstrap(df: DataFrame, value: str, keep: str, cluster: str, replicates: in
     replicate. The weight of a cluster in a replicate depends on (seed, b, cluster) alone, so
     that conditions and engines share their resamples.
     """
+    kept = df.where(F.col(keep))
+    return bootstrap_ratios(kept, {"value": (F.col(value), F.col(value).isNotNull().cast("int"))}, cluster, replicates, seed, by)
+
+
+def bootstrap_ratios(df: DataFrame, ratios: dict[str, tuple[Column, Column]], cluster: str, replicates: int, seed: int = 1, by: list[str] | None = None) -> DataFrame:
+    """(by, b, one column for each ratio): sum of the first over sum of the second column in each resample of clusters.
+
+    A cluster's rows of all groups are drawn together, with one hash for each replicate. Clusters are
+    spread over tasks before they are written out for each replicate, however small their sums are.
+    """
     by = by or []
-    sums = df.where(F.col(keep)).groupBy(*by, cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    each = sums.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    weighed = each.withColumn("_w", poisson_weight(hash_unit(F.lit(seed), F.col("b"), F.col(cluster))))
-    return weighed.groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_n"))).alias("value"))
+    sums = df.groupBy(*by, cluster).agg(*[F.sum(c).alias(f"_{i}_{k}") for k, pair in ratios.items() for i, c in enumerate(pair)])
+    parts = [*by, *[f"_{i}_{k}" for k in ratios for i in (0, 1)]]
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # By a hash of the cluster: a repartition by the cluster itself equals the aggregate's and is dropped, and the adaptive plan leaves one task.
+    drawn = sums.groupBy(cluster).agg(F.collect_list(F.struct(*parts)).alias("_rows")).repartition(tasks, F.xxhash64(cluster))
+    # The hash is an output of the generator, so that no plan computes it once for each step of the weight.
+    each = drawn.select("_rows", F.inline(F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda b: F.struct(b.alias("b"), hash_unit(F.lit(seed), b, F.col(cluster)).alias("_q")))))
+    weighed = each.select("b", poisson_weight(F.col("_q")).alias("_w"), F.inline("_rows"))
+    total = lambda c: F.sum(F.col("_w") * F.col(c))
+    return weighed.groupBy(*by, "b").agg(*[F.try_divide(total(f"_0_{k}"), total(f"_1_{k}")).alias(k) for k in ratios])
 
 
 def logistic(df: DataFrame, features: list[str], label: str, group: str, groups: int, ridge: float = 1e-3, steps: int = 8) -> dict[int, np.ndarray]:

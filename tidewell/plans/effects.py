@@ -15,6 +15,8 @@ from tidewell.session import cut
 from tidewell.sources import table
 
 FEATURES = ["log_price", "balance", "lines"]
+#: Resamples of the reference's bootstrap.
+REPLICATES = 2000
 
 
 def units(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,25 +61,52 @@ def _replicates(spark: SparkSession, sf: str, replicates: int = 50) -> DataFrame
 
 
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean, spread and percentile interval of the cluster bootstrap of each adjustment."""
+    """Mean, spread and percentile interval of the cluster bootstrap of each adjustment, over the 50 replicates of its SQL; `bootstrap_intervals` has all."""
     mean, std, low, high = (F.round(c * 100, 5).alias(n) for c, n in zip(S.replicate_summary("value"), ("mean", "std", "low", "high")))
     return _replicates(spark, sf).groupBy("condition").agg(mean, std, low, high, F.count("value").alias("replicates"))
 
 
 def paired_contrast(spark: SparkSession, sf: str) -> DataFrame:
-    """Bias reduction of the adjusted against the unadjusted estimate, paired by replicate."""
-    wide = _replicates(spark, sf).groupBy("b").pivot("condition", ["naive", "segment"]).agg(F.first("value"))
+    """Bias reduction of the adjusted against the unadjusted estimate, paired by replicate, over the 50 replicates of its SQL; `paired_bootstrap` has all."""
+    return _paired(_replicates(spark, sf))
+
+
+def _paired(replicates: DataFrame) -> DataFrame:
+    wide = replicates.groupBy("b").pivot("condition", ["naive", "segment"]).agg(F.first("value"))
     gain = wide.withColumn("gain", (F.abs("naive") - F.abs("segment")) * 100)
     return gain.agg(F.round(F.avg("gain"), 5).alias("mean"), F.round(F.stddev_samp("gain") * S.DETECTABLE, 5).alias("detectable"), F.round(S.two_sided_p("gain"), 6).alias("p"))
 
 
 def bh_fdr(spark: SparkSession, sf: str) -> DataFrame:
-    """Bootstrap p-value of the unadjusted effect in each nation, and its value adjusted over all nations."""
-    psi = E.influence(E.rate_nuisances(units(spark, sf)))
-    p = E.bootstrap(psi, "psi", "keep", "cluster", 40, by=["nation"]).groupBy("nation").agg(S.two_sided_p("value").alias("p"))
+    """Bootstrap p-value of the unadjusted effect in each nation, and its value adjusted over all nations, over the 40 replicates of its SQL; `nation_fdr` has all."""
+    return _nation_fdr(units(spark, sf), 40)
+
+
+def _nation_fdr(rows: DataFrame, replicates: int) -> DataFrame:
+    psi = E.influence(E.rate_nuisances(rows))
+    p = E.bootstrap(psi, "psi", "keep", "cluster", replicates, by=["nation"]).groupBy("nation").agg(S.two_sided_p("value").alias("p"))
     return R.adjusted_p(p, "p", "nation").select("nation", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
 
 
+def bootstrap_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean, spread and percentile interval of each adjustment and of its overlap-weighted form over all replicates of the cluster bootstrap."""
+    kept = F.when(F.col("keep"), F.col("psi"))
+    ratios = {"value": (kept, kept.isNotNull().cast("int")), "ato": (F.col("psi_ato"), F.col("h"))}
+    drawn = E.bootstrap_ratios(_conditions(spark, sf), ratios, "cluster", REPLICATES, by=["condition"])
+    summary = [F.round(c * 100, 5).alias(tag + n) for k, tag in (("value", ""), ("ato", "ato_")) for c, n in zip(S.replicate_summary(k), ("mean", "std", "low", "high"))]
+    return drawn.groupBy("condition").agg(*summary, F.count("value").alias("replicates"))
+
+
+def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Bias reduction of the adjusted against the unadjusted estimate, paired by replicate, over all replicates."""
+    return _paired(_replicates(spark, sf, REPLICATES))
+
+
+def nation_fdr(spark: SparkSession, sf: str) -> DataFrame:
+    """Bootstrap p-value of the unadjusted effect in each nation over all replicates, and its value adjusted over all nations."""
+    return _nation_fdr(units(spark, sf), REPLICATES)
+
+
 def balance(spark: SparkSession, sf: str) -> DataFrame:
     """Standardised mean differences before and after weighting."""
     rows = E.influence(E.rate_nuisances(units(spark, sf), strata=["segment"]))
@@ -230,6 +259,14 @@ SELECT condition, round(b, 5) AS baseline, round((point + 1.9) / sqrt(se * se +
 SELECT round(avg(gain), 5) AS mean, round(stddev_samp(gain) * {S.DETECTABLE!r}, 5) AS detectable, round(least(1.0, greatest(2 * least(avg((gain >= 0)::INT), avg((gain <= 0)::INT)), 1.0::DOUBLE / nullif(count(gain), 0))), 6) AS p FROM g""",
     "bh_fdr": f"""{_UNITS}, {_psi('naive', chr(39) + 'all' + chr(39))}, c AS (SELECT * FROM naive_p), {_boot('nation', 40)},
 p AS (SELECT nation, least(1.0, greatest(2 * least(avg((value >= 0)::INT), avg((value <= 0)::INT)), 1.0::DOUBLE / nullif(count(value), 0))) AS p FROM bt GROUP BY 1), k AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, nation) AS raw FROM p)
+SELECT nation, round(p, 6) AS p, round(least(1.0, min(raw) OVER (ORDER BY p DESC, nation DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM k""",
+    "bootstrap_intervals": f"""{_BOTH}, s AS (SELECT condition, cluster, sum(psi) AS s, count(psi) AS n, sum(psi_ato) AS sa, sum(h) AS sh FROM c GROUP BY 1, 2), r AS (SELECT *, {_HASH_B} AS q FROM s, range({REPLICATES}) t(b)), k AS (SELECT *, {_WEIGHT} AS wt FROM r),
+bt AS (SELECT condition, b, sum(wt * s) / nullif(sum(wt * n), 0) AS value, sum(wt * sa) / nullif(sum(wt * sh), 0) AS ato FROM k GROUP BY 1, 2)
+SELECT condition, {", ".join(f"round(avg({k}) * 100, 5) AS {t}mean, round(stddev_samp({k}) * 100, 5) AS {t}std, round(quantile_cont({k}, 0.025) * 100, 5) AS {t}low, round(quantile_cont({k}, 0.975) * 100, 5) AS {t}high" for k, t in (("value", ""), ("ato", "ato_")))}, count(value) AS replicates FROM bt GROUP BY 1""",
+    "paired_bootstrap": f"""{_BOTH}, {_boot('condition', REPLICATES)}, g AS (SELECT b, (abs(max(value) FILTER (condition = 'naive')) - abs(max(value) FILTER (condition = 'segment'))) * 100 AS gain FROM bt GROUP BY 1)
+SELECT round(avg(gain), 5) AS mean, round(stddev_samp(gain) * {S.DETECTABLE!r}, 5) AS detectable, round(least(1.0, greatest(2 * least(avg((gain >= 0)::INT), avg((gain <= 0)::INT)), 1.0::DOUBLE / nullif(count(gain), 0))), 6) AS p FROM g""",
+    "nation_fdr": f"""{_UNITS}, {_psi('naive', chr(39) + 'all' + chr(39))}, c AS (SELECT * FROM naive_p), {_boot('nation', REPLICATES)},
+p AS (SELECT nation, least(1.0, greatest(2 * least(avg((value >= 0)::INT), avg((value <= 0)::INT)), 1.0::DOUBLE / nullif(count(value), 0))) AS p FROM bt GROUP BY 1), k AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, nation) AS raw FROM p)
 SELECT nation, round(p, 6) AS p, round(least(1.0, min(raw) OVER (ORDER BY p DESC, nation DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM k""",
     "balance": f"""{_BOTH}, l AS (SELECT a, w, unnest(['log_price', 'balance', 'lines']) AS covariate, unnest([log_price, balance, lines::DOUBLE]) AS x FROM segment_p),
 t AS (SELECT covariate, sqrt((var_samp(x) FILTER (a = 1) + var_samp(x) FILTER (a = 0)) / 2) AS sp, avg(x) FILTER (a = 1) - avg(x) FILTER (a = 0) AS d0, sum(x * w) FILTER (a = 1) / sum(w) FILTER (a = 1 AND x IS NOT NULL) - sum(x * w) FILTER (a = 0) / sum(w) FILTER (a = 0 AND x IS NOT NULL) AS d1, count(x)::DOUBLE / count(*) AS filled FROM l GROUP BY 1)
@@ -250,5 +287,5 @@ SELECT segment, round(ka, 6) AS gain_a, round(ky, 6) AS gain_y, ka >= 2 AND ky >
   WHEN ka < 2 THEN 'outcome only: precision, not confounding' WHEN ky < 2 THEN 'treatment only: like an instrument' ELSE 'informative but too costly' END AS reason FROM k""",
 }
 
-QUERIES = {f.__name__: f for f in (effects, against_trial, bootstrap_ci, paired_contrast, bh_fdr, balance, auc_rank, average_precision, spearman, arm_profile, funnel, segment_pivot,
+QUERIES = {f.__name__: f for f in (effects, against_trial, bootstrap_ci, paired_contrast, bh_fdr, bootstrap_intervals, paired_bootstrap, nation_fdr, balance, auc_rank, average_precision, spearman, arm_profile, funnel, segment_pivot,
                                    decisions, model_effects, information_gain, isotonic, planted_effect)}
