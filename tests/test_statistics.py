@@ -86,6 +86,22 @@ def test_overlap_weighted_form_has_its_own_replicates(spark):
         assert r.ato == pytest.approx((w * rows["x"]).sum() / (w * rows["h"]).sum())
 
 
+def test_resampled_areas_against_repeated_rows(spark):
+    rng = random.Random(3)
+    rows = [(k, k % 30, rng.randrange(12) / 12, int(rng.random() < 0.4)) for k in range(150)]
+    df = spark.createDataFrame(rows, "id int, c int, p double, y int")
+    got = {r.b: r for r in R.resampled_curves(df, "p", "y", "c", 3).collect()}
+    for b in range(3):
+        drawn = df.withColumn("k", F.explode(F.array_repeat(F.lit(1), E.poisson_weight(E.hash_unit(F.lit(1), F.lit(b), F.col("c"))))))
+        assert got[b].auroc == pytest.approx(R.auc(drawn, "p", "y").first().auroc)
+        assert got[b].average_precision == pytest.approx(R.average_precision(drawn, "p", "y").first().average_precision)
+
+
+def test_cost_is_the_share_of_effective_sample(spark):
+    r = spark.range(1).select(S.positivity_cost(F.lit(200.0), F.lit(150.0)).alias("c"), S.positivity_cost(F.lit(0.0), F.lit(1.0)).alias("none")).first()
+    assert r.c == 0.25 and r.none is None
+
+
 def test_folds_partition_the_rows(spark):
     f = spark.range(5000).select(E.fold("id").alias("f")).groupBy("f").count().collect()
     assert sorted(r.f for r in f) == [0, 1, 2, 3, 4] and min(r["count"] for r in f) > 800

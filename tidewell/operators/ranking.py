@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidewell.operators.estimate import hash_unit, poisson_weight
 from tidewell.session import cut
 
 
@@ -58,6 +59,25 @@ def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     return down.agg(F.first("_pos").alias("n_pos"), F.sum(precision * F.try_divide("pos", "_pos")).alias("average_precision"))
 
 
+def resampled_curves(df: DataFrame, score: str, label: str, cluster: str, replicates: int, seed: int = 1) -> DataFrame:
+    """(b, auroc, average_precision): both areas in each resample of clusters; null with one class only.
+
+    Replicates stand one after the other in one order of (b, score), so that the running sums are
+    shared by all tasks; what lies before a replicate is taken off again.
+    """
+    clean = df.select(F.col(cluster).alias("_c"), F.col(score).alias("_score"), F.col(label).cast("long").alias("_label")).dropna()
+    each = clean.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_w", poisson_weight(hash_unit(F.lit(seed), F.col("b"), F.col("_c"))).cast("long"))
+    at = each.where("_w > 0").groupBy("b", "_score").agg(F.sum(F.col("_w") * F.col("_label")).alias("pos"), F.sum(F.col("_w") * (1 - F.col("_label"))).alias("neg"))
+    run = cut(running_sums(at, ["b", "_score"], ["pos", "neg"]))
+    # One row for each replicate.
+    whole = run.groupBy("b").agg(*[f.alias(f"_{k}_{c}") for c in ("pos", "neg") for k, f in (("n", F.sum(c)), ("o", F.min(F.col(f"run_{c}") - F.col(c))))])
+    own = run.join(F.broadcast(whole), "b").withColumns({f"run_{c}": F.col(f"run_{c}") - F.col(f"_o_{c}") for c in ("pos", "neg")})
+    tp, fp = (F.col(f"_n_{c}") - F.col(f"run_{c}") + F.col(c) for c in ("pos", "neg"))
+    won = F.sum(F.col("pos").cast("double") * (F.col("run_neg") - F.col("neg") / 2.0))
+    return own.groupBy("b").agg(F.try_divide(won, F.first("_n_pos").cast("double") * F.first("_n_neg")).alias("auroc"),
+                                F.sum(F.try_divide(tp.cast("double"), tp + fp) * F.try_divide("pos", "_n_pos")).alias("average_precision"))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """(n, rho): rank correlation with mean ranks for ties; rows with a null are left out."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)

@@ -79,6 +79,11 @@ def balance(df: DataFrame, covariates: list[str], arm: str, weight: str) -> Data
         F.avg(have.cast("double")).alias("filled"))
 
 
+def positivity_cost(structured: Column, with_block: Column) -> Column:
+    """Share of the effective sample that a block of features costs; null without effective sample."""
+    return F.round(1 - F.try_divide(with_block, F.when(structured > 0, structured)), 3)
+
+
 def verdict(gain_treatment: Column, gain_outcome: Column, cost: Column, least: float = 2.0, most: float = 0.15) -> tuple[Column, Column]:
     """(accept, reason) of adding a block of features, from what it adds on both channels and what it costs."""
     no = F.lit(False)

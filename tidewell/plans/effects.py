@@ -164,6 +164,13 @@ def decisions(spark: SparkSession, sf: str) -> DataFrame:
     return gains.select("segment", F.round("gain_a", 6).alias("gain_a"), F.round("gain_y", 6).alias("gain_y"), accept.alias("accept"), reason.alias("reason"))
 
 
+def block_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of the effective sample that adjusting for the segment costs."""
+    each = _conditions(spark, sf).groupBy("condition").agg(E.effective_size("w", "keep").alias("ess"))
+    one = each.agg(*[F.max(F.when(F.col("condition") == k, F.col("ess"))).alias(f"ess_{k}") for k in ("naive", "segment")])
+    return one.select(F.round("ess_naive", 2).alias("ess_naive"), F.round("ess_segment", 2).alias("ess_segment"), S.positivity_cost(F.col("ess_naive"), F.col("ess_segment")).alias("cost"))
+
+
 def model_effects(spark: SparkSession, sf: str) -> DataFrame:
     """Cross-fitted estimate with logistic nuisance models, and its targeted form."""
     rows = cut(E.model_nuisances(units(spark, sf), FEATURES))
@@ -268,6 +275,8 @@ SELECT round(avg(gain), 5) AS mean, round(stddev_samp(gain) * {S.DETECTABLE!r},
     "nation_fdr": f"""{_UNITS}, {_psi('naive', chr(39) + 'all' + chr(39))}, c AS (SELECT * FROM naive_p), {_boot('nation', REPLICATES)},
 p AS (SELECT nation, least(1.0, greatest(2 * least(avg((value >= 0)::INT), avg((value <= 0)::INT)), 1.0::DOUBLE / nullif(count(value), 0))) AS p FROM bt GROUP BY 1), k AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, nation) AS raw FROM p)
 SELECT nation, round(p, 6) AS p, round(least(1.0, min(raw) OVER (ORDER BY p DESC, nation DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM k""",
+    "block_cost": f"""{_BOTH}, k AS (SELECT condition, sum(w) * sum(w) / sum(w * w) AS ess FROM c GROUP BY 1), o AS (SELECT max(ess) FILTER (condition = 'naive') AS n, max(ess) FILTER (condition = 'segment') AS s FROM k)
+SELECT round(n, 2) AS ess_naive, round(s, 2) AS ess_segment, round(1 - s / n, 3) AS cost FROM o""",
     "balance": f"""{_BOTH}, l AS (SELECT a, w, unnest(['log_price', 'balance', 'lines']) AS covariate, unnest([log_price, balance, lines::DOUBLE]) AS x FROM segment_p),
 t AS (SELECT covariate, sqrt((var_samp(x) FILTER (a = 1) + var_samp(x) FILTER (a = 0)) / 2) AS sp, avg(x) FILTER (a = 1) - avg(x) FILTER (a = 0) AS d0, sum(x * w) FILTER (a = 1) / sum(w) FILTER (a = 1 AND x IS NOT NULL) - sum(x * w) FILTER (a = 0) / sum(w) FILTER (a = 0 AND x IS NOT NULL) AS d1, count(x)::DOUBLE / count(*) AS filled FROM l GROUP BY 1)
 SELECT covariate, round(d0 / sp, 6) AS smd_before, round(d1 / sp, 6) AS smd_after, round(filled, 6) AS filled FROM t""",
@@ -288,4 +297,4 @@ SELECT segment, round(ka, 6) AS gain_a, round(ky, 6) AS gain_y, ka >= 2 AND ky >
 }
 
 QUERIES = {f.__name__: f for f in (effects, against_trial, bootstrap_ci, paired_contrast, bh_fdr, bootstrap_intervals, paired_bootstrap, nation_fdr, balance, auc_rank, average_precision, spearman, arm_profile, funnel, segment_pivot,
-                                   decisions, model_effects, information_gain, isotonic, planted_effect)}
+                                   decisions, block_cost, model_effects, information_gain, isotonic, planted_effect)}

@@ -7,7 +7,7 @@ from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.operators import estimate as E, ranking as R
+from tidewell.operators import estimate as E, ranking as R, statistics as S
 from tidewell.plans.effects import FEATURES, units
 from tidewell.session import cut
 from tidewell.sources import table
@@ -20,12 +20,23 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def vector_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Held-out AUROC and average precision of a logistic probe for a group of labels: scaler and model see seven of ten folds."""
+    scored = _probe(spark, sf)
+    return R.auc(scored, "p", "y").join(F.broadcast(R.average_precision(scored, "p", "y").drop("n_pos")))
+
+
+def probe_intervals(spark: SparkSession, sf: str, replicates: int = 500) -> DataFrame:
+    """Mean, spread and percentile interval of the probe's held-out areas over the reference's 500 resamples. A vector is a cluster: the table names no patient."""
+    drawn = R.resampled_curves(_probe(spark, sf), "p", "y", "vec_id", replicates).unpivot("b", ["auroc", "average_precision"], "area", "value")
+    return drawn.groupBy("area").agg(*S.replicate_summary("value"), F.count("value").alias("replicates"))
+
+
+def _probe(spark: SparkSession, sf: str) -> DataFrame:
+    """(vec_id, y, p) of the held-out vectors."""
     rows = _vectors(spark, sf)
     train, held = rows.where("fold < 7"), rows.where("fold >= 7")
     scaler = StandardScaler(inputCol="x", outputCol="z", withMean=True).fit(train)
     model = LogisticRegression(featuresCol="z", labelCol="y", regParam=0.1, maxIter=50).fit(scaler.transform(train))
-    scored = cut(model.transform(scaler.transform(held)).select("y", F.round(vector_to_array("probability")[1], 8).alias("p")))
-    return R.auc(scored, "p", "y").join(F.broadcast(R.average_precision(scored, "p", "y").drop("n_pos")))
+    return cut(model.transform(scaler.transform(held)).select("vec_id", "y", F.round(vector_to_array("probability")[1], 8).alias("p")))
 
 
 def fold_components(spark: SparkSession, sf: str, components: int = 4) -> DataFrame:
@@ -108,4 +119,4 @@ SELECT l_returnflag, round(any_value(b), 4) AS slope, round(any_value(a), 2) AS
     "first_values": f"WITH {_S} SELECT subject_id, {_PICK}, count(*) AS n FROM s WHERE subject_id IS NOT NULL GROUP BY 1",
     "label_crosstab": f"WITH {_S} SELECT encounter_type, " + ", ".join(f"count(*) FILTER (edema = {k}) AS edema_{k}" for k in range(4)) + " FROM s GROUP BY 1",
 }
-QUERIES = {f.__name__: f for f in (vector_probe, fold_components, residual_fit, within_arm_gain, frontal_views, first_values, label_crosstab)}
+QUERIES = {f.__name__: f for f in (vector_probe, probe_intervals, fold_components, residual_fit, within_arm_gain, frontal_views, first_values, label_crosstab)}
