@@ -36,3 +36,8 @@ def test_units_need_no_shuffle_of_rows(spark, small):
     from tidewell.plans.common_units import converted
 
     assert "Exchange hashpartitioning" not in _plan(converted(spark, small))
+
+
+@pytest.mark.parametrize("name", ["tail_band", "adaptive_arm"])
+def test_no_group_is_held_for_its_percentiles(spark, small, name):
+    assert not re.search(r"\bpercentile\(", _plan(catalogue.QUERIES[name](spark, small)))

@@ -27,6 +27,27 @@ def running_sums(df: DataFrame, order: list[str], values: list[str], parts: int
     return run.drop("_part", *[f"_o_{v}" for v in values])
 
 
+def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, one column for each share): exact percentiles of a column in each group, interpolated; nulls are left out.
+
+    They are read off running sums over all (group, value), so that no task holds a group's values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    run = cut(running_sums(counts, [*by, value], ["n"]))
+    whole = run.groupBy(*[F.col(k).alias(f"_k_{k}") for k in by]).agg(F.sum("n").alias("_n"), F.min(F.col("run_n") - F.col("n")).alias("_o"))
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    own = run.join(whole, same) if by else run.join(F.broadcast(whole))
+    upto, out = F.col("run_n") - F.col("_o"), []
+    for name, share in shares.items():
+        place = F.lit(share) * (F.col("_n") - 1)
+        at = lambda i: F.max(F.when((upto > i) & (upto - F.col("n") <= i), F.col(value)))
+        rest = F.max(place - F.floor(place))
+        out.append(((1 - rest) * at(F.floor(place)) + rest * at(F.ceil(place))).alias(name))
+    return own.groupBy(*by).agg(*out)
+
+
 def mean_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:
     """(value, n, rank): the mean rank of each distinct value, ties sharing theirs; nulls are left out."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))

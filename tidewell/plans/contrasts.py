@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidewell.operators import estimate as E, statistics as S
+from tidewell.operators import estimate as E, ranking as R, statistics as S
 from tidewell.plans.effects import _UNITS, _psi, units
 from tidewell.sources import table
 
@@ -52,9 +52,11 @@ def set_operations(spark: SparkSession, sf: str) -> DataFrame:
 
 def tail_band(spark: SparkSession, sf: str) -> DataFrame:
     """Empirical band of prices by priority, the share above a limit, and the order with the least price."""
-    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(
-        F.round(F.percentile("o_totalprice", F.lit(0.025)), 4).alias("low"), F.round(F.percentile("o_totalprice", F.lit(0.975)), 4).alias("high"),
+    orders = table(spark, sf, "orders")
+    band = R.percentiles(orders, ["o_orderpriority"], "o_totalprice", {"low": 0.025, "high": 0.975}).withColumnRenamed("o_orderpriority", "_priority")
+    rest = orders.groupBy("o_orderpriority").agg(
         F.round(F.avg((F.col("o_totalprice") > 200000).cast("double")), 8).alias("above"), F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("cheapest"))
+    return rest.join(band, F.col("o_orderpriority").eqNullSafe(F.col("_priority")), "left").select("o_orderpriority", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "above", "cheapest")
 
 
 def welch(spark: SparkSession, sf: str) -> DataFrame:

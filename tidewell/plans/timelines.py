@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewell.functions.times import DAY, HOUR, from_micros, micros, second_text
 from tidewell.operators.canonical import clean
+from tidewell.operators.ranking import percentiles
 from tidewell.operators.temporal import asof_backward, first_crossing, first_row, interval_join, last_values, lookback, near_join
 from tidewell.plans.event_stream import _F
 from tidewell.sources import first_deliveries, table
@@ -123,7 +124,7 @@ def suspected_pair(spark: SparkSession, sf: str) -> DataFrame:
 def adaptive_arm(spark: SparkSession, sf: str) -> DataFrame:
     """Subjects by fluid per stay: above 2000 mL, or above the median where that share is outside 30 to 70 percent."""
     total = events(spark, sf).where("modality = 'input' and stay_id is not null").groupBy("stay_id").agg(F.sum("value_num").alias("ml")).where("ml is not null")
-    cut = total.agg(F.avg((F.col("ml") < 2000).cast("double")).alias("below"), F.expr("percentile(ml, 0.5)").alias("median"))
+    cut = total.agg(F.avg((F.col("ml") < 2000).cast("double")).alias("below")).join(F.broadcast(percentiles(total, [], "ml", {"median": 0.5})))
     limit = F.when(F.col("below").between(0.3, 0.7), 2000.0).otherwise(F.col("median"))
     # One row, whatever the input.
     return total.join(F.broadcast(cut.select(limit.alias("limit")))).select("stay_id", "ml", F.when(F.col("ml") >= F.col("limit"), "active").otherwise("comparator").alias("arm"))
