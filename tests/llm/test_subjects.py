@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from tidewell.llm import subjects as S
@@ -39,7 +40,11 @@ def test_what_is_fine_stays_and_lost_letters_dont_matter():
     for t in [*TEXTS, "", "plain ascii", "a" * 300_000, "\x00\ud800"]:
         assert words(repair(t)) == words(t)
     assert words("m��decin") == words("médecin") == words("médecin") == ["mdecin"]
-    assert S.own_text(None) == S.own_text("") == [] and "trial" not in S.own_text("court bail\nRead next: trial / verdict")
+    assert S.own_text(None) == S.own_text("") == []
+
+
+def test_words_of_any_script():
+    assert words("Η δίκη άρχισε") == ["δίκη", "άρχισε"] and words("法院判决") == ["法院", "院判", "判决"] and words("कानून 12 ab") == ["कानून"]
 
 
 LAW, SPORT, COOK = ["tribunal", "verdict", "bail", "judge", "injunction"], ["goalkeeper", "striker", "referee", "offside", "sprint"], ["saucepan", "butter", "dough", "whisk", "oven"]
@@ -69,14 +74,55 @@ def corpus(spark):
     return docs, lab, truth
 
 
-def test_areas_of_a_small_corpus(corpus):
-    docs, labels, truth = corpus
+def _right(found, truth):
     got: dict[int, set] = {}
-    for r in S.at_most_two(S.subject_areas(docs, labels, AREAS)).collect():
+    for r in found.collect():
         got.setdefault(r.doc_id, set()).add(r.area)
-    right = sum(got.get(k, set()) == v for k, v in truth.items())
-    assert right >= 0.95 * len(truth)
-    assert 900 not in got and 901 not in got and got[902] == {"sport"}
+    assert 900 not in got and 901 not in got
+    return sum(got.get(k, set()) == v for k, v in truth.items()) / len(truth), got
+
+
+def test_areas_of_a_small_corpus(corpus):
+    docs, labels, truth = corpus
+    share, got = _right(S.subject_areas(docs, labels, AREAS), truth)
+    assert share >= 0.95 and got[902] == {"sport"}
+
+
+@pytest.mark.parametrize("kind", ["random", "exchanged"])
+def test_the_topics_decide(corpus, monkeypatch, kind):
+    docs, labels, truth = corpus
+    fit = S.fit_topics
+
+    def other(tokens, lexicon, *rest):
+        fitted = fit(tokens, lexicon, *rest)
+        vocabulary, rng = lexicon["word"].tolist(), np.random.default_rng(1)
+        made = fitted.copy()
+        made[vocabulary] = rng.dirichlet(np.full(len(vocabulary), 5.0), len(fitted)) if kind == "random" else fitted[vocabulary].to_numpy()[:, rng.permutation(len(vocabulary))]
+        return made
+
+    monkeypatch.setattr(S, "fit_topics", other)
+    assert _right(S.subject_areas(docs, labels, AREAS), truth)[0] <= 0.6
+
+
+def test_rare_words_have_a_place_and_order_of_rows_doesnt_matter(corpus):
+    docs, labels, truth = corpus
+    first = _right(S.subject_areas(docs, labels, AREAS), truth)[1]
+    assert first == _right(S.subject_areas(docs.orderBy("text").repartition(3), labels.repartition(2), AREAS), truth)[1]
+
+
+def test_announcements_are_learned_from_what_follows_them(spark):
+    random.seed(2)
+    pools = {"law": LAW, "sport": SPORT, "cooking": COOK}
+    rows = []
+    for k in range(60):
+        own = AREAS[k % 3]
+        other = AREAS[(k + 1 + k % 2) % 3]
+        rows.append((k, [own], f"{_page(own)}.\nMore to say: {random.choice(pools[own])}.\nWeiter dazu auch : {random.choice(pools[other])} / {random.choice(pools[other])}\nend"))
+    sample = spark.createDataFrame(rows, "doc_id bigint, areas array<string>, _text string")
+    lexicon = S.content_words(S._tokens(sample, "doc_id", None), AREAS)
+    heads = S.teaser_heads(sample, lexicon, AREAS)
+    assert "dazu auch" in heads and not any("say" in h for h in heads)
+    assert not set(S.own_text("bail\nweiter dazu auch: whisk / oven\njudge", S.teaser_pattern(heads))) & {"whisk", "oven"}
 
 
 def test_no_documents_and_no_labels(corpus):
@@ -86,7 +132,9 @@ def test_no_documents_and_no_labels(corpus):
 
 
 def test_only_the_teaser_is_cut():
+    teaser = S.teaser_pattern(["read next", "sie auch", "lire aussi", "lea tambi¤n"])
     line = "Read next: Trial / memory leak Home · Contact Notes 4 the goalkeeper stood there. © 5 x.example"
-    assert S.own_text(line) == ["home", "contact", "notes", "the", "goalkeeper", "stood", "there", "example"]
-    assert S.own_text("bail\nLesen Sie auch: Kurs / Offener Port\njudge") == ["bail", "judge"]
-    assert S.own_text("bail. À lire aussi : Rupture de contrat / juge © 71 host") == ["bail", "host"]
+    assert S.own_text(line, teaser) == ["home", "contact", "notes", "the", "goalkeeper", "stood", "there", "example"]
+    assert S.own_text("bail\nSie auch: Kurs / Offener Port\njudge", teaser) == ["bail", "judge"]
+    assert S.own_text("bail. À lire aussi : Rupture de contrat / juge © 71 host", teaser) == ["bail", "host"]
+    assert S.own_text("bail\nLea tambiГ©n: juez\njudge", teaser) == ["bail", "judge"] and S.teaser_pattern([]) is None

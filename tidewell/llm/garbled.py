@@ -69,11 +69,19 @@ def repair(text: str) -> str:
 
 
 _DROP = re.compile("[̀-ͯ­​-‏﻿�À-ÖØ-öø-ſ]")
-_WORD = re.compile("[a-zа-яё]{3,}")
+_ASCII = re.compile("[a-z]{3,}")
+#: Scripts without spaces between words, and letters with the vowel signs of scripts that write them apart.
+_DENSE = r"[฀-๿぀-ヿ㐀-鿿가-힯]"
+_LETTER = rf"(?:(?!{_DENSE})[^\W\d_]|[֑-ׇً-ٟऀ-ॣ॰-෿])"
+_WORD = re.compile(rf"(?=({_DENSE}{{2}}))|({_LETTER}{{3,}})")
 
 
 def words(text: str) -> list[str]:
-    """Lower-case words of three letters or more of a repaired text, without accented letters."""
-    if not text.isascii():
-        text = _DROP.sub("", unicodedata.normalize("NFC", text))
-    return _WORD.findall(text.lower())
+    """Lower-case words of three letters or more of a repaired text, in any script, without accented Latin letters.
+
+    Scripts without spaces between words give overlapping pairs of signs.
+    """
+    if text.isascii():
+        return _ASCII.findall(text.lower())
+    text = _DROP.sub("", unicodedata.normalize("NFC", text))
+    return [m[1] or m[2] for m in _WORD.finditer(text.lower())]

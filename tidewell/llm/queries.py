@@ -40,13 +40,13 @@ def _assigned(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, area): one or two areas of each document that has its own content."""
-    return subjects.at_most_two(_assigned(spark, sf)).select("doc_id", "area").distinct()
+    return _assigned(spark, sf).select("doc_id", "area").distinct()
 
 
 def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and characters by area; a document with two areas counts for both."""
     size = table(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("chars"))
-    return subjects.at_most_two(_assigned(spark, sf)).join(size, "doc_id").groupBy("area").agg(
+    return _assigned(spark, sf).join(size, "doc_id").groupBy("area").agg(
         F.count(F.lit(1)).alias("documents"), F.sum("chars").alias("chars"), F.round(F.avg("topic_share"), 6).alias("mean_topic_share"))
 
 

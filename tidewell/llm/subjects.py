@@ -1,13 +1,17 @@
 """Subject areas of documents, from latent Dirichlet topics.
 
-1. `content_words`: from a bounded sample of labelled documents, the words that speak for an
-   area. Words of menus, notices and sentence frames stand in pages of all areas alike and
-   fall out here, in whatever language.
-2. `word_table`: every document is repaired and reduced to those words, with its teasers cut.
-3. `fit_topics`: an online LDA over all documents, distributed by Spark.
-4. `topic_areas`: each topic is mapped to areas by its top words.
-5. `assign`: topic proportions of each document, found with the topics held fixed, are summed
-   to areas; an area that the topics propose is kept if the words of the page confirm it.
+1. `clean_labels`: a bounded sample of labelled documents, which is all that anything is learned from.
+2. `content_words`: the words of the sample that speak for an area. Words of menus, notices and
+   sentence frames stand in pages of all areas alike and fall out here, in whatever language.
+3. `teaser_heads`: phrases that announce other pages, known by what follows them: it speaks for
+   any area but the page's own.
+4. `fit_topics`: latent Dirichlet models over the sample, distributed by Spark, one for each area's documents.
+5. `topic_areas`: each topic is mapped to the area that its top terms speak for; topics whose top
+   terms speak for none are put together as background.
+6. `assign`: the topic proportions of every document, found with the topics held fixed, are its areas.
+   The proportion from which an area counts is where the labelled documents agree best.
+
+Only the sample is shuffled; all documents go through one map.
 """
 
 from __future__ import annotations
@@ -15,181 +19,275 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidewell.llm.garbled import repair, words
 from tidewell.session import cut, ship
 
-#: Labelled documents the words are taken from, at most (by a hash of doc_id), so that the sample has a fixed bound.
+#: Labelled documents that are learned from, at most (by a hash of the key): bounds the words and topics that go to the executors.
 LABELLED = 20_000
-#: Words kept, at most: the bound of everything that goes to the executors.
-WORDS = 12_000
-#: How a page announces other pages, two titles with a slash between. Where the page has no line breaks, the
-#: second title ends with its last lower-case word.
-_TEASER = re.compile(r"(?i:Read next|Lesen Sie auch|lire aussi|Lea tambi.{1,2}n|Читайте также)\s?:[^\n©/]{1,60}(?:/(?:[^\n©]{1,60}(?=\n|©|$)|\s*\S+(?:\s[a-zа-яёß-ÿ]\S*)*))?")
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Thresholds of the assignment."""
+    """Parameters of the topics and of the assignment."""
 
-    #: Share of the topic proportions from which an area is proposed.
-    proposed: float = 0.03
-    #: Share of the page's area words that confirms it.
-    confirmed: float = 0.19
-    #: Words of the area that a page needs, counted with their certainty: one sure word is enough, one doubtful word isn't.
-    least_words: float = 0.9
+    #: Topics of each area's model, and its passes over the area's labelled documents.
+    topics: int = 8
+    iterations: int = 20
+    #: Top terms of a topic that are inspected, and the share of them that must speak for one area.
+    top: int = 40
+    speaks: float = 0.6
+    #: Words that a page needs, each counted by how far it is above half sure: one sure word is enough, two doubtful words aren't.
+    least_words: float = 0.75
+    #: Topic proportions among which the threshold is chosen.
+    thresholds: tuple[float, ...] = tuple(k / 100 for k in range(10, 31))
 
 
-def own_text(text: str | None) -> list[str]:
-    """The words of a page without its teasers; null and empty give none."""
-    return words(_TEASER.sub(" ", repair(text))) if text else []
+_BEFORE_COLON = re.compile(r"([^\s:.!?©/|·>]+ )?([^\s:.!?©/|·>]+ [^\s:.!?©/|·>]+)\s?:([^\n©]{1,60})")
+_FOREIGN = re.compile("[^\x00-\x7fЀ-ӿ]+")
+#: What an announcement holds: a title, or two with a slash between. Without line breaks the second one ends with its last lower-case word.
+_TITLES = r"\s?:[^\n©/]{1,60}(?:/(?:[^\n©]{1,60}(?=\n|©|$)|\s*\S+(?:\s[a-zа-яёß-ÿ]\S*)*))?"
 
 
-def _tokens(df: DataFrame, key: str, text: str, vocabulary: list[str] | None = None) -> DataFrame:
-    """(key, words): own_text of each row, only words of the vocabulary if there is one."""
-    ship(df.sparkSession)
-    known = frozenset(vocabulary) if vocabulary is not None else None
+def teaser_pattern(heads: list[str]) -> re.Pattern | None:
+    """The pattern of announcements that begin with one of `heads`; letters with accents may have been garbled."""
+    return re.compile("(?i:" + "|".join(".{1,2}".join(map(re.escape, h.split("¤"))) for h in heads) + ")" + _TITLES) if heads else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [own_text(t) for t in pdf["_text"]]
-            if known is not None:
-                found = [[w for w in ws if w in known] for ws in found]
-            yield pd.DataFrame({key: pdf[key], "words": found})
 
-    return df.select(key, F.col(text).alias("_text")).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, words array<string>")
+def own_text(text: str | None, teaser: re.Pattern | None = None) -> list[str]:
+    """The words of a page without its teasers; null and empty give none."""
+    if not text:
+        return []
+    text = repair(text)
+    return words(teaser.sub(" ", text) if teaser else text)
 
 
 def clean_labels(labels: DataFrame, areas: list[str], key: str = "doc_id") -> DataFrame:
-    """(key, area): distinct labels with a known area, in lower case, of at most LABELLED documents.
+    """(key, areas): the distinct known areas of at most LABELLED labelled documents, in lower case, `none` as an empty list."""
+    rows = labels.select(key, F.lower(F.trim("area")).alias("area")).where(F.col(key).isNotNull() & F.col("area").isin([*areas, "none"]))
+    sets = rows.groupBy(key).agg(F.array_sort(F.array_remove(F.collect_set("area"), "none")).alias("areas"))
+    return sets.orderBy(F.xxhash64(key), key).limit(LABELLED)
 
-    `none` counts as an area here. Documents whose labels disagree say nothing certain about a
-    word, so they aren't taken.
-    """
-    rows = labels.select(key, F.lower(F.trim("area")).alias("area")).where(F.col(key).isNotNull() & F.col("area").isin([*areas, "none"])).distinct()
-    alone = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.first("area").alias("area")).where("n = 1")
-    return alone.select(key, "area").orderBy(F.xxhash64(key), key).limit(LABELLED)
+
+def _sample(documents: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, areas, text) of the labelled documents; in fixed order, so that the topics don't depend on how `documents` is stored."""
+    rows = documents.where(F.length(text) > 0).select(key, F.col(text).alias("_text")).join(F.broadcast(labels), key)
+    return cut(rows.dropDuplicates([key]).repartition(16, key).sortWithinPartitions(key))
 
 
-def content_words(documents: DataFrame, labels: DataFrame, areas: list[str], key: str = "doc_id", text: str = "text") -> pd.DataFrame:
-    """Words that speak for an area, at most WORDS, as a table (word, n, one column for each area).
+def _tokens(sample: DataFrame, key: str, teaser: re.Pattern | None) -> DataFrame:
+    """(key, areas, words) of the sample."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "areas": pdf["areas"], "words": [own_text(t, teaser) for t in pdf["_text"]]})
+
+    return sample.mapInPandas(run, f"{key} {dict(sample.dtypes)[key]}, areas array<string>, words array<string>")
+
+
+def content_words(tokens: DataFrame, areas: list[str]) -> pd.DataFrame:
+    """Words of the sample that speak for an area: (word, n, one column for each area).
 
     The last are shares, corrected for how often each area is labelled; pages labelled
     `none` count as an area of their own, so that words of error pages and forms fall out.
+    Documents with several labels say nothing certain about a word, so they aren't taken.
     """
-    sample = documents.join(F.broadcast(labels), key)
-    tokens = _tokens(sample, key, text).join(F.broadcast(labels), key)
-    size = {r.area: r.n for r in labels.groupBy("area").agg(F.count(F.lit(1)).alias("n")).collect()}
+    alone = tokens.where("size(areas) < 2").withColumn("area", F.when(F.size("areas") == 0, "none").otherwise(F.col("areas")[0]))
+    size = {r.area: r.n for r in alone.groupBy("area").agg(F.count(F.lit(1)).alias("n")).collect()}
     kinds = [*areas, "none"]
-    seen = tokens.select("area", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(
+    seen = alone.select("area", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(
         F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("area") == a, 1)).alias(f"n_{a}") for a in kinds])
-    least = max(2, sum(size.values()) // 2500)
     rates = {a: F.col(f"n_{a}") / F.lit(float(max(1, size.get(a, 0)))) for a in kinds}
     total = sum(rates.values(), F.lit(0.0))
-    shares = seen.where(F.col("n") >= least).select("word", "n", *[(rates[a] / total).alias(a) for a in kinds])
-    sure = F.greatest(F.lit(0.0), *areas) - 1.2 / F.sqrt(F.col("n"))
-    return shares.where((sure > 0.25) & (F.greatest(F.lit(0.0), *areas) > 3 * F.col("none"))).drop("none").orderBy(F.desc("n"), "word").limit(WORDS).toPandas()
+    shares = seen.select("word", "n", *[(rates[a] / total).alias(a) for a in kinds])
+    most = F.greatest(F.lit(0.0), *areas)
+    sure = most - 1.2 / F.sqrt(F.col("n"))
+    return shares.where((sure > 0.25) & (most > 3 * F.col("none"))).drop("none").orderBy("word").toPandas()
 
 
-def word_table(documents: DataFrame, lexicon: pd.DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, words): the lexicon's words of each document, repeated as they occur. Documents without any are left out."""
-    return _tokens(documents.where(F.col(text).isNotNull()), key, text, lexicon["word"].tolist()).where(F.size("words") > 0)
+def teaser_heads(sample: DataFrame, lexicon: pd.DataFrame, areas: list[str], least: int = 5) -> list[str]:
+    """Two or three words before a colon that announce other pages, learned from the sample.
 
+    In at least `least` labelled documents, the words behind the colon speak less for the
+    labelled areas than for others. Letters with accents are written ¤.
+    """
+    speaks = {w: dict(zip(areas, s)) for w, s in zip(lexicon["word"], lexicon[areas].to_numpy())}
 
-def fit_topics(table: DataFrame, lexicon: pd.DataFrame, topics: int = 72, iterations: int = 36, rate: float = 0.05, seed: int = 7) -> pd.DataFrame:
-    """Online LDA over all rows of `table`: a table with a row for each topic and a column for each word (probabilities)."""
-    vectors = CountVectorizerModel.from_vocabulary(lexicon["word"].tolist(), "words", "features")
-    counts = vectors.transform(table).select("features").persist()
-    lda = LDA(k=topics, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=rate, learningOffset=4.0, learningDecay=0.55,
-              docConcentration=[0.05] * topics, topicConcentration=0.02, optimizeDocConcentration=False)
-    model = lda.fit(counts)
-    counts.unpersist()
-    matrix = model.topicsMatrix().toArray().T
-    return pd.DataFrame(matrix / matrix.sum(axis=1, keepdims=True), columns=lexicon["word"].tolist())
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: dict[tuple[int, str], list[float]] = {}
+            for k, (text, labelled) in enumerate(zip(pdf["_text"], pdf["areas"])):
+                if not len(labelled):
+                    continue
+                for m in _BEFORE_COLON.finditer(repair(text)):
+                    known = [speaks[w] for w in words(m[3]) if w in speaks]
+                    if known:
+                        own = sum(s[a] for s in known for a in labelled) / len(known)
+                        for head in {m[2], (m[1] or "") + m[2]}:
+                            out.setdefault((k, _FOREIGN.sub("¤", head.lower())), []).append(own)
+            if out:
+                yield pd.DataFrame({"head": [h for _, h in out], "own": [sum(v) / len(v) for v in out.values()]})
+
+    heads = sample.mapInPandas(run, "head string, own double").groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.avg("own").alias("own"))
+    # Bounded by the sample: each head stands in at least `least` of its documents.
+    return sorted(r.head for r in heads.where((F.col("n") >= least) & (F.col("own") < 0.5)).collect())
+
+
+def fit_topics(tokens: DataFrame, lexicon: pd.DataFrame, areas: list[str], limits: Limits = Limits(), seed: int = 0) -> pd.DataFrame:
+    """Online LDA models over the sample, one for each area: a row for each topic, a column for each word, and `weight`.
+
+    A model sees the documents labelled with one area. The Spark jobs of a few models run side by side.
+    """
+    vocabulary = lexicon["word"].tolist()
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "words", "features")
+    alone = vectors.transform(tokens.where("size(areas) = 1")).select(F.col("areas")[0].alias("area"), "features").persist()
+
+    def fit(area: str) -> pd.DataFrame:
+        counts = alone.where(F.col("area") == area).select("features")
+        if counts.isEmpty():
+            return pd.DataFrame(columns=vocabulary + ["weight"])
+        lda = LDA(k=limits.topics, maxIter=limits.iterations, seed=seed, optimizer="online", subsamplingRate=1.0, learningOffset=1.0, learningDecay=0.6,
+                  docConcentration=[0.1] * limits.topics, topicConcentration=0.02, optimizeDocConcentration=False)
+        matrix = lda.fit(counts).topicsMatrix().toArray().T
+        return pd.DataFrame(matrix / matrix.sum(axis=1, keepdims=True), columns=vocabulary).assign(weight=matrix.sum(axis=1) / matrix.sum())
 
+    with ThreadPool(4) as pool:
+        fitted = pool.map(inheritable_thread_target(tokens.sparkSession)(fit), areas)
+    alone.unpersist()
+    return pd.concat([f for f in fitted if len(f)], ignore_index=True) if any(len(f) for f in fitted) else fitted[0]
 
-def topic_areas(topics: pd.DataFrame, lexicon: pd.DataFrame, areas: list[str], top: int = 100) -> pd.DataFrame:
-    """The areas of each topic: shares by its `top` words, each with its probability and its areas.
 
-    A topic may hold the words of two areas, one less frequent than the other; so more words are
-    inspected than its first few.
+def topic_areas(topics: pd.DataFrame, lexicon: pd.DataFrame, areas: list[str], limits: Limits = Limits()) -> list[str | None]:
+    """The area of each topic: that of at least `speaks` of its `top` terms, weighted by probability; None if there is none.
+
+    It needn't be the area whose documents the topic comes from: wrong labels bring topics of other areas.
     """
     share = lexicon.set_index("word")[areas]
-    rows = []
-    for _, t in topics.iterrows():
-        best = t.nlargest(top)
-        mix = share.loc[best.index].mul(best, axis=0).sum()
-        rows.append(mix / max(mix.sum(), 1e-12))
-    return pd.DataFrame(rows, columns=areas).reset_index(drop=True)
+    out: list[str | None] = []
+    for _, t in topics.drop(columns="weight").astype(float).iterrows():
+        best = t.nlargest(limits.top)
+        mix = share.loc[best.index].mul(best, axis=0).sum() / max(best.sum(), 1e-12)
+        out.append(str(mix.idxmax()) if mix.max() >= limits.speaks else None)
+    return out
 
 
-def assign(table: DataFrame, lexicon: pd.DataFrame, topics: pd.DataFrame, of_topic: pd.DataFrame, areas: list[str], key: str = "doc_id", limits: Limits = Limits()) -> DataFrame:
-    """(key, area, topic_share, word_share): the areas of each document of `table`.
+@dataclass(frozen=True)
+class Topics:
+    """What a task needs to infer topic proportions: words, P(word | topic), the area of each topic (-1: background), and the certainty of words."""
+
+    place: dict[str, int]
+    beta: np.ndarray
+    area: np.ndarray
+    certainty: np.ndarray
+    areas: list[str]
+
+    @classmethod
+    def of(cls, topics: pd.DataFrame, of_topic: list[str | None], lexicon: pd.DataFrame, areas: list[str]) -> Topics:
+        """Without the markers, and with all topics of no area put together as one."""
+        vocabulary = lexicon["word"].tolist()
+        beta, weight = topics[vocabulary].to_numpy(), topics["weight"].to_numpy()
+        kept = np.array([a is not None for a in of_topic])
+        rest = np.where(kept, 0.0, weight) @ beta if not kept.all() else np.zeros(len(vocabulary))
+        rows = np.vstack([beta[kept], rest + 1e-9])
+        area = np.array([areas.index(a) for a in of_topic if a is not None] + [-1])
+        rows = (rows / rows.sum(axis=1, keepdims=True)).T.astype(np.float32) + np.float32(1e-7)
+        return cls({w: i for i, w in enumerate(vocabulary)}, rows, area, np.maximum(2 * lexicon[areas].max(axis=1).to_numpy(dtype=np.float32) - 1, 0), areas)
+
+    def shares(self, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(proportion of each area, evidence) of documents given as places of words, none of them empty."""
+        wide = len(self.place)
+        rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        flat = np.array([i for x in lists for i in x], dtype=np.int64)
+        pair, counts = np.unique(rows * wide + flat, return_counts=True)
+        rows, flat, counts = pair // wide, pair % wide, counts.astype(np.float32)
+        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        b = self.beta[flat]
+        theta = np.full((len(lists), b.shape[1]), 1.0 / b.shape[1], dtype=np.float32)
+        for _ in range(8):
+            r = theta[rows] * b
+            r *= (counts / r.sum(axis=1))[:, None]
+            theta = np.add.reduceat(r, starts, axis=0) + np.float32(0.002)
+            theta /= theta.sum(axis=1, keepdims=True)
+        of_area = np.stack([theta[:, self.area == a].sum(axis=1) for a in range(len(self.areas))], axis=1)
+        return of_area, np.add.reduceat(self.certainty[flat] * counts, starts)
+
+    def best_two(self, lists: list[list[str]], least: float) -> Iterator[tuple[int, list[tuple[str, float]]]]:
+        """(position, two largest areas with their proportions) of the documents with enough evidence."""
+        places = [[self.place[w] for w in ws if w in self.place] for ws in lists]
+        live = [k for k, p in enumerate(places) if p]
+        for low in range(0, len(live), 512):
+            part = live[low : low + 512]
+            share, evidence = self.shares([places[k] for k in part])
+            order = np.argsort(-share, axis=1, kind="stable")[:, :2]
+            for i, k in enumerate(part):
+                if evidence[i] >= least:
+                    yield k, [(self.areas[a], float(share[i, a])) for a in order[i]]
+
+
+def learn_threshold(tokens: DataFrame, topics: Topics, limits: Limits = Limits()) -> float:
+    """The proportion from which an area counts: where most labelled documents get exactly their labels; the middle of equally good ones."""
 
-    The topic proportions of a document are inferred with the topics held fixed (a few rounds
-    of expectation and maximisation); areas whose part reaches `proposed` are candidates. A candidate
-    stays if its share among the area words of the page reaches `confirmed`, and the page has
-    at least `least_words` of its words (counted with their certainty).
-    """
-    import numpy as np
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            right = np.zeros(len(limits.thresholds), dtype=np.int64)
+            labelled = [set(a) for a in pdf["areas"]]
+            for k, best in topics.best_two(pdf["words"].tolist(), limits.least_words):
+                for t, least in enumerate(limits.thresholds):
+                    right[t] += {a for a, s in best if s >= least} == labelled[k]
+            yield pd.DataFrame({"t": np.arange(len(right)), "n": right})
 
-    place = {w: i for i, w in enumerate(lexicon["word"])}
-    beta = topics.to_numpy(dtype=np.float32).T + 1e-7
-    mix = of_topic.to_numpy(dtype=np.float32)
-    speaks = lexicon[areas].to_numpy(dtype=np.float32)
-    speaks = np.where(speaks > 0.3, speaks, 0)
-    names = np.array(areas)
+    right = {r.t: r.n for r in tokens.mapInPandas(run, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    most = max(right.values(), default=0)
+    good = sorted(t for t, n in right.items() if n >= most * 0.998)
+    return limits.thresholds[good[len(good) // 2]] if good else limits.thresholds[len(limits.thresholds) // 2]
+
+
+def assign(documents: DataFrame, topics: Topics, threshold: float, teaser: re.Pattern | None = None, key: str = "doc_id", text: str = "text", limits: Limits = Limits()) -> DataFrame:
+    """(key, area, topic_share): the one or two areas of each document whose topic proportion reaches the threshold.
+
+    The proportions are inferred with the topics held fixed (a few rounds of expectation and
+    maximisation). Ties go to the area that comes first.
+    """
+    ship(documents.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for low in range(0, len(pdf), 512):
-                part = pdf.iloc[low : low + 512]
-                lists = [[place[w] for w in ws] for ws in part["words"]]
-                rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                flat = np.array([i for x in lists for i in x], dtype=np.int64)
-                pair, counts = np.unique(rows * len(place) + flat, return_counts=True)
-                rows, flat, counts = pair // len(place), pair % len(place), counts.astype(np.float32)
-                starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-                b = beta[flat]
-                theta = np.full((len(lists), beta.shape[1]), 1.0 / beta.shape[1], dtype=np.float32)
-                for _ in range(8):
-                    r = theta[rows] * b
-                    r *= (counts / r.sum(axis=1))[:, None]
-                    theta = np.add.reduceat(r, starts, axis=0) + 0.02
-                    theta /= theta.sum(axis=1, keepdims=True)
-                shares = theta @ mix
-                spoken = np.add.reduceat(speaks[flat] * counts[:, None], starts, axis=0)
-                total = spoken.sum(axis=1, keepdims=True)
-                confirmed = spoken / np.maximum(total, 1e-6)
-                take = (shares >= limits.proposed) & (confirmed >= limits.confirmed) & (spoken >= limits.least_words)
-                d, a = np.nonzero(take)
-                yield pd.DataFrame({key: part[key].to_numpy()[d], "area": names[a], "topic_share": shares[d, a].astype(float), "word_share": confirmed[d, a].astype(float)})
-
-    return table.mapInPandas(run, f"{key} {dict(table.dtypes)[key]}, area string, topic_share double, word_share double")
+            keys = pdf[key].to_numpy()
+            found = [(keys[k], a, s) for k, best in topics.best_two([own_text(t, teaser) for t in pdf["_text"]], limits.least_words) for a, s in best if s >= threshold]
+            if found:
+                yield pd.DataFrame(found, columns=[key, "area", "topic_share"])
+
+    rows = documents.where(F.length(text) > 0).select(key, F.col(text).alias("_text"))
+    return rows.mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, area string, topic_share double")
 
 
 def subject_areas(documents: DataFrame, labels: DataFrame, areas: list[str], key: str = "doc_id", text: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """(key, area, topic_share, word_share): all steps over all `documents`.
+    """(key, area, topic_share): all steps over all `documents`; one or two rows for each document that has its own content.
 
-    Documents with null or empty text or without any word that speaks for an area have no
+    Documents with null or empty text or without enough words that speak for an area have no
     row; so has every document if the labels teach no word at all (an empty or tiny sample).
     Equal documents get equal areas. Other columns are ignored.
     """
-    taught = cut(clean_labels(labels, areas, key))
-    lexicon = content_words(documents, taught, areas, key, text) if areas else pd.DataFrame()
+    ship(documents.sparkSession)
+    nothing = documents.select(key).where(F.lit(False)).select(key, F.lit("").alias("area"), F.lit(0.0).alias("topic_share"))
+    if not areas:
+        return nothing
+    sample = _sample(documents, clean_labels(labels, areas, key), key, text)
+    lexicon = content_words(_tokens(sample, key, None), areas)
     if lexicon.empty:
-        return documents.select(key).where(F.lit(False)).select(key, F.lit("").alias("area"), F.lit(0.0).alias("topic_share"), F.lit(0.0).alias("word_share"))
-    table = cut(word_table(documents, lexicon, key, text))
-    topics = fit_topics(table, lexicon)
-    return assign(table, lexicon, topics, topic_areas(topics, lexicon, areas), areas, key, limits)
-
-
-def at_most_two(assigned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The two areas of each document with the largest word share."""
-    order = Window.partitionBy(key).orderBy(F.desc("word_share"), F.desc("topic_share"), "area")
-    return assigned.withColumn("_rank", F.row_number().over(order)).where("_rank <= 2").drop("_rank")
+        return nothing
+    teaser = teaser_pattern(teaser_heads(sample, lexicon, areas))
+    tokens = cut(_tokens(sample, key, teaser))
+    lexicon = content_words(tokens, areas)
+    fitted = fit_topics(tokens, lexicon, areas, limits)
+    of_topic = topic_areas(fitted, lexicon, areas, limits)
+    topics = Topics.of(fitted, of_topic, lexicon, areas)
+    return assign(documents, topics, learn_threshold(tokens, topics, limits), teaser, key, text, limits)
