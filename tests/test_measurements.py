@@ -48,9 +48,18 @@ def test_forest_isolates_what_is_rare():
     features = rng.normal(size=(1200, 4))
     odd = np.arange(0, 1200, 40) + 7
     features[odd] += 12
-    scores = forest_scores(source, features, Rules())
-    assert scores[odd].min() > np.delete(scores, odd).mean() + 0.1
-    assert np.array_equal(scores, forest_scores(source, features, Rules()))
+    grows = np.ones(1200, dtype=bool)
+    scores = forest_scores(source, features, grows, Rules())
+    assert scores[odd].min() > np.delete(scores, odd).max() + 0.1
+    assert np.array_equal(scores, forest_scores(source, features, grows, Rules()))
+    # A source has the same scores whatever its size, and rows that didn't grow the trees are scored too.
+    many = np.concatenate([features] * 30)
+    for size in (64, 256):
+        large = forest_scores(np.zeros(len(many), dtype=int), many, np.arange(len(many)) % 3 > 0, Rules(sample=size))
+        flagged = large >= Rules().unusual
+        assert flagged[np.add.outer(np.arange(30) * 1200, odd).ravel()].mean() > 0.95 and flagged.mean() < 0.04
+    calm = np.delete(features, odd, axis=0) / 4
+    assert set(forest_scores(np.zeros(len(calm), dtype=int), calm, np.ones(len(calm), dtype=bool), Rules())) == {0.5}
 
 
 def _series(values, source="x", start=0):
@@ -79,6 +88,34 @@ def test_spikes_stuck_runs_and_what_is_neither(spark):
     assert all(got[k] is None for k in got if k >= 2000)
 
 
+@pytest.mark.parametrize("score", [0.0, 0.5, 1.0])
+def test_the_forest_decides(score):
+    """With flat scores the shapes alone either flag nothing or a large part of what is normal."""
+    from tidewell.operators import spikes as K
+
+    rng = np.random.default_rng(4)
+    value = np.concatenate([np.r_[80 + rng.integers(-4, 5, 30), 150, 80 + rng.integers(-4, 5, 30), [83] * 14, 80 + rng.integers(-4, 5, 25)] for _ in range(20)]).astype(float)
+    source, at = np.repeat(np.arange(20), 100), np.tile(np.arange(100) * HOUR, 20)
+    args = (source, at, value, np.ones(2000), np.ones(2000, dtype=bool), Rules())
+    _, spike, stuck = K.judge(*args)
+    true_spike, place = value == 150, np.arange(2000) % 100
+    true_stuck = (place >= 61) & (place < 75)
+    assert np.array_equal(spike, true_spike) and stuck[true_stuck].all() and stuck.sum() <= 290
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(K, "forest_scores", lambda source, *_: np.full(len(source), score))
+        _, spike, stuck = K.judge(*args)
+    flagged = spike | stuck
+    assert not flagged.any() or flagged.mean() > 0.4
+
+
+def test_every_reading_is_scored(spark):
+    rows = _series([80, 81, 79, 80, 82, 81, 80, 79, 81, 80, 82, 79])
+    rows[4], rows[7] = (4, "x", 4 * HOUR, 4 * HOUR, 9999.0, False, 1.0), (7, "x", 7 * HOUR, 7 * HOUR, -40.0, False, 1.0)
+    got = {r.row_id: (r.score, r.reason) for r in score_readings(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == 12 and all(0 < s <= 1 for s, _ in got.values())
+    assert min(got[4][0], got[7][0]) > 0.7 and got[4][1] == got[7][1] == "limit" and all(got[k] == (0.5, None) for k in got if k not in (4, 7))
+
+
 def test_limits_copies_nulls_and_tiny_sources(spark):
     rows = _series([80, 81, 79, 80, 82, 81, 80, 79, 81, 80])
     rows[4] = (4, "x", 4 * HOUR, 4 * HOUR, 9999.0, False, 1.0)
@@ -108,8 +145,8 @@ def test_a_series_longer_than_a_block_is_judged_in_pieces(spark, monkeypatch):
     values = (80 + rng.integers(-4, 5, 3000)).astype(float)
     at = [3, 499, 500, 501, 1111, 2990]
     values[at] = 150
-    frame = pd.DataFrame({"series": np.r_[np.zeros(3000), np.ones(40)].astype(int), "row_id": np.arange(3040), "at_us": np.arange(3040) * HOUR, "stored_us": 0, "value": np.r_[values, np.full(40, 70.0)],
-                          "floor": 1.0, "possible": True, "known": True, "own": True})
+    frame = pd.DataFrame({"series": np.r_[np.zeros(3000), np.ones(40)].astype(int), "series_too": 0, "row_id": np.arange(3040), "at_us": np.arange(3040) * HOUR, "stored_us": 0, "value": np.r_[values, np.full(40, 70.0)],
+                          "floor": 1.0, "possible": True, "own": True})
     frame = pd.concat([frame, frame.iloc[[499, 700]]]).sort_values(["series", "at_us", "row_id"], ignore_index=True)
     monkeypatch.setattr(K, "BLOCK", 400)
     got = pd.concat(K._judge_sorted((frame.iloc[k : k + 130] for k in range(0, len(frame), 130)), Rules()))

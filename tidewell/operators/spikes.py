@@ -1,17 +1,22 @@
 """Implausible readings: spikes, stuck values and impossible values, relative to their source.
 
-A source is one (entity, type) series. `score_readings` runs an isolation forest for each
-source: trees that split on random thresholds, in which unusual readings end up alone after
-few splits. The unit of the forest is a run of equal readings, with four features: its level
-against the source, its difference to what comes before and after, its difference to the
-same time of day, and the length of the run. Every reading gets the score of its run.
+A source is one (entity, type) series. An isolation forest for each source scores every
+reading: trees that split on random thresholds, in which unusual readings end up alone after
+few splits. The unit of the forest is a run of equal readings, with four features: how far its level
+is from what comes before and after, the smaller of its differences to its neighbours, its
+distance from the level at its time of day, and how surprising its length is. The first three
+are measured in typical steps of the source, the last by how often the source repeats a reading.
+
+A node is only split on a feature whose range exceeds what is ordinary, and the feature is drawn
+in proportion to its range (robust random cuts, Guha et al., 2016). So calm sources aren't cut at all
+and have the neutral score 0.5, whatever their size, and a score says the same in every source.
+The forest decides what is unusual; the rules after it only tell the kinds apart, by shape: a spike leaves
+the level on both sides at once and returns, in a stuck run the length is what stands out
+most, and lasting changes are neither. Physical limits are applied to every reading besides.
 
 Forests of many sources are grown together, level by level, as array operations over all of
 them; a task never works on them one by one. Series are cut into stretches of time that
 overlap, so that a long source is spread over tasks.
-Readings with a high score are then held against exact rules: a spike leaves the level on both
-sides abruptly and returns within a few readings; a stuck run is far longer than any other of
-its source. Physical limits are applied to every reading apart from that.
 """
 
 from __future__ import annotations
@@ -29,22 +34,24 @@ from tidewell.session import ship
 
 @dataclass(frozen=True)
 class Rules:
-    """Parameters of the forest and of the exact rules."""
+    """Parameters of the forest and of the shapes."""
 
     trees: int = 16
-    sample: int = 64
+    sample: int = 256
     depth: int = 6
-    #: Score from which a reading is looked at.
-    candidate: float = 0.5
-    #: A spike is this many typical steps away from the level on both sides ...
-    steps: float = 5.0
-    #: ... enters and leaves with this part of its height at once, and lasts at most so many runs and readings.
+    #: Range of a feature that is ordinary, in typical steps; nats of surprise of a run that count as much; the largest value of a feature.
+    ordinary: float = 6.5
+    surprise: float = 12.0
+    clip: float = 25.0
+    #: How often a reading repeats where nothing is known, and the number of pairs of readings that this counts as.
+    repeats: float = 0.2
+    pairs: float = 40.0
+    #: Score from which a reading is unusual.
+    unusual: float = 0.58
+    #: A spike enters and leaves with this part of its height at once, and lasts at most so many runs and readings.
     abrupt: float = 0.6
-    longest: int = 2
+    longest: int = 3
     readings: int = 4
-    #: A stuck run has at least so many readings, and so many times the longest other run of its source.
-    stuck: int = 8
-    stuck_times: float = 1.5
     #: Neighbours on each side that make up the level.
     near: int = 4
 
@@ -56,52 +63,71 @@ def _mean_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
-def forest_scores(source: np.ndarray, features: np.ndarray, rules: Rules, seed: int = 11) -> np.ndarray:
+def forest_scores(source: np.ndarray, features: np.ndarray, grows: np.ndarray, rules: Rules, seed: int = 11) -> np.ndarray:
     """Isolation scores in (0, 1] of all rows; `source` numbers the sources 0, 1, ... in order.
 
-    One forest for each source, grown on at most about `sample` rows of it. All sources' trees grow
-    together: a node is (source, position in the tree).
+    One forest for each source, grown on at most about `sample` of its rows with `grows`. All sources' trees
+    grow together: a node is (source, position in the tree). A row that lies outside the box of its
+    leaf by more than what is ordinary counts as cut off there.
     """
     n, wide = features.shape
-    count = np.bincount(source)
+    count = np.bincount(source, weights=grows).astype(np.int64)
+    low, high = np.full((len(count), wide), np.inf), np.full((len(count), wide), -np.inf)
+    for f in range(wide):
+        np.minimum.at(low[:, f], source[grows], features[grows, f])
+        np.maximum.at(high[:, f], source[grows], features[grows, f])
+    normal = np.maximum(_mean_path(np.minimum(count, rules.sample)), 1e-9)
+    outside = ((features < low[source] - rules.ordinary) | (features > high[source] + rules.ordinary)).any(axis=1)
+    score = np.where(outside, 2.0 ** (-1.0 / normal[source]), 0.5)
+    # A source within what is ordinary has no node to split, in any tree.
+    active = (high - low > rules.ordinary).any(axis=1) & (count > 2)
+    score[count[source] <= 2] = 0.5
+    live = np.flatnonzero(active[source])
+    if len(live):
+        part = np.cumsum(active) - 1
+        score[live] = _grown_scores(part[source[live]], features[live], grows[live], normal[active], count[active], rules, seed)
+    return score
+
+
+def _grown_scores(source: np.ndarray, features: np.ndarray, grows: np.ndarray, normal: np.ndarray, count: np.ndarray, rules: Rules, seed: int) -> np.ndarray:
+    n, wide = features.shape
     rng = np.random.default_rng(seed)
     drawn = np.minimum(1.0, rules.sample / count)[source]
     slots = 1 << (rules.depth + 1)
+    base = source.astype(np.int64) * slots
     total = np.zeros(n)
     for _ in range(rules.trees):
         feature = np.full(len(count) * slots, -1, dtype=np.int8)
         border = np.zeros(len(count) * slots)
         size = np.zeros(len(count) * slots, dtype=np.int32)
-        rows = np.flatnonzero(rng.random(n) < drawn)
-        node = source[rows].astype(np.int64) * slots + 1
+        least, most = np.full((len(count) * slots, wide), np.inf), np.full((len(count) * slots, wide), -np.inf)
+        rows = np.flatnonzero(grows & (rng.random(n) < drawn))
+        node = base[rows] + 1
         for level in range(rules.depth + 1):
             if not len(rows):
                 break
-            order = np.argsort(node, kind="stable")
-            rows, node = rows[order], node[order]
+            if level:
+                order = np.argsort(node, kind="stable")
+                rows, node = rows[order], node[order]
             first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
             length = np.diff(np.r_[first, len(node)])
             at = node[first]
-            size[at] = length
+            values = features[rows]
+            low, high = np.minimum.reduceat(values, first, axis=0), np.maximum.reduceat(values, first, axis=0)
+            size[at], least[at], most[at] = length, low, high
             if level == rules.depth:
                 break
-            pick = rng.integers(0, wide, len(first))
-            values = features[rows, np.repeat(pick, length)]
-            low, high = np.minimum.reduceat(values, first), np.maximum.reduceat(values, first)
-            # A feature that is constant in a node can't split it: try the next one.
-            flat = low >= high
-            if flat.any():
-                pick = np.where(flat, (pick + 1) % wide, pick)
-                values = features[rows, np.repeat(pick, length)]
-                low, high = np.minimum.reduceat(values, first), np.maximum.reduceat(values, first)
-            split = (low < high) & (length > 1)
-            cut = low + rng.random(len(first)) * (high - low)
+            extent = np.where(high - low > rules.ordinary, high - low, 0.0)
+            upto = np.cumsum(extent, axis=1)
+            split = upto[:, -1] > 0
+            pick = np.minimum((upto <= (rng.random(len(first)) * upto[:, -1])[:, None]).sum(axis=1), wide - 1)
+            here = np.arange(len(first))
+            cut = low[here, pick] + rng.random(len(first)) * (high - low)[here, pick]
             feature[at[split]], border[at[split]] = pick[split], cut[split]
             goes = np.repeat(split, length)
+            right = values[np.arange(len(rows)), np.repeat(pick, length)] > np.repeat(cut, length)
             local = node % slots
-            child = node - local + 2 * local + (values > np.repeat(cut, length))
-            rows, node = rows[goes], child[goes]
-        base = source.astype(np.int64) * slots
+            rows, node = rows[goes], (node + local + right)[goes]
         place = np.ones(n, dtype=np.int64)
         live = np.arange(n)
         depth = np.zeros(n)
@@ -111,9 +137,10 @@ def forest_scores(source: np.ndarray, features: np.ndarray, rules: Rules, seed:
             live, spot = live[inner], spot[inner]
             place[live] = 2 * place[live] + (features[live, feature[spot]] > border[spot])
             depth[live] += 1
-        total += depth + _mean_path(size[base + place])
-    normal = np.maximum(_mean_path(np.minimum(count, rules.sample)), 1e-9)[source]
-    return np.where(count[source] > 2, 2.0 ** (-(total / rules.trees) / normal), 0.5)
+        leaf = base + place
+        beyond = ((features < least[leaf] - rules.ordinary) | (features > most[leaf] + rules.ordinary)).any(axis=1)
+        total += depth + np.where(beyond, 1.0, _mean_path(size[leaf]))
+    return 2.0 ** (-(total / rules.trees) / normal[source])
 
 
 def _shifted(values: np.ndarray, source: np.ndarray, k: int) -> np.ndarray:
@@ -135,81 +162,119 @@ def _median(columns: list[np.ndarray]) -> np.ndarray:
     return np.where(have > 0, mid, np.nan)
 
 
-def judge(source: np.ndarray, at_us: np.ndarray, value: np.ndarray, floor: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(score, spike, stuck) of readings sorted by (source, time); `floor` is the least step of the reading's type."""
-    fresh = np.r_[True, (source[1:] != source[:-1]) | (value[1:] != value[:-1])]
+def _momentary(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The smaller of two differences if both have one sign, else 0; a missing side counts like the other."""
+    before, after = np.where(np.isnan(before), after, before), np.where(np.isnan(after), before, after)
+    return np.nan_to_num(np.where(before * after > 0, np.where(np.abs(before) < np.abs(after), before, after), 0.0))
+
+
+def judge(source: np.ndarray, at_us: np.ndarray, value: np.ndarray, floor: np.ndarray, possible: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, spike, stuck) of readings sorted by (source, time); `floor` is the least step of the reading's type.
+
+    Impossible readings are scored in the forest of their source, but are nobody's neighbours.
+    """
+    source = np.cumsum(np.r_[True, source[1:] != source[:-1]]) - 1
+    score, spike, stuck = np.full(len(value), 0.5), np.zeros(len(value), dtype=bool), np.zeros(len(value), dtype=bool)
+    take = np.flatnonzero(possible)
+    if not len(take):
+        return score, spike, stuck
+    n_source = source[-1] + 1
+    p_source, p_value = source[take], value[take]
+    fresh = np.r_[True, (p_source[1:] != p_source[:-1]) | (p_value[1:] != p_value[:-1])]
     unit = np.cumsum(fresh) - 1
-    first = np.flatnonzero(fresh)
-    run = np.diff(np.r_[first, len(value)])
-    u_source, u_value, u_at, u_floor = source[first], value[first], at_us[first], floor[first]
-    u_source = np.cumsum(np.r_[True, u_source[1:] != u_source[:-1]]) - 1
+    first = take[fresh]
+    run = np.diff(np.r_[np.flatnonzero(fresh), len(take)])
+    u_source, u_value = source[first], value[first]
     # The typical step of a source: mean of the lower three fifths of its steps, which spikes don't reach.
     step = np.abs(_shifted(u_value, u_source, -1) - u_value)
     has = np.flatnonzero(~np.isnan(step))
     order = has[np.lexsort((step[has], u_source[has]))]
-    n_source = u_source[-1] + 1
     steps = np.bincount(u_source[has], minlength=n_source)
     rank = np.arange(len(order)) - np.repeat(np.cumsum(steps) - steps, steps)
     low = rank < np.ceil(0.6 * steps[u_source[order]])
     typical = np.bincount(u_source[order][low], weights=step[order][low], minlength=n_source) / np.maximum(np.bincount(u_source[order][low], minlength=n_source), 1)
-    scale = np.maximum(typical[u_source] * 1.98, u_floor)
-    before = _median([_shifted(u_value, u_source, -k) for k in range(1, rules.near + 1)])
-    after = _median([_shifted(u_value, u_source, k) for k in range(1, rules.near + 1)])
-    # Features of the forest.
-    mean = np.bincount(u_source, weights=u_value) / np.bincount(u_source)
-    hour = u_source * 4 + (u_at // (DAY // 4)) % 4
-    daily = (np.bincount(hour, weights=u_value, minlength=4 * n_source) / np.maximum(np.bincount(hour, minlength=4 * n_source), 1))[hour]
-    away = np.minimum(np.abs(u_value - np.where(np.isnan(before), after, before)), np.abs(u_value - np.where(np.isnan(after), before, after)))
-    features = np.stack([(u_value - mean[u_source]) / scale, np.nan_to_num(away) / scale, (u_value - daily) / scale, 2 * np.log2(run)], axis=1)
-    score = forest_scores(u_source, features, rules)
-    candidate = score >= rules.candidate
-    # Spikes of one to `longest` runs.
-    spike = np.zeros(len(u_value), dtype=bool)
-    previous, following = _shifted(u_value, u_source, -1), _shifted(u_value, u_source, 1)
+    # Impossible readings stand beside the units, each after the last possible unit before it.
+    odd = np.flatnonzero(~possible)
+    behind = np.cumsum(possible)[odd] - 1
+    behind = np.where(behind >= 0, unit[np.maximum(behind, 0)], -1)
+    a_source, a_value, a_at = np.r_[u_source, source[odd]], np.r_[u_value, value[odd]], np.r_[at_us[first], at_us[odd]]
+    scale = np.maximum(typical[a_source] * 1.98, np.r_[floor[first], floor[odd]])
+
+    def neighbour(k: int) -> np.ndarray:
+        """The value k units on, or back if k is negative; NaN beyond the source."""
+        at = behind + (k + 1 if k < 0 else k)
+        fits = (at >= 0) & (at < len(u_value))
+        at = np.clip(at, 0, len(u_value) - 1)
+        return np.r_[_shifted(u_value, u_source, k), np.where(fits & (u_source[at] == source[odd]), u_value[at], np.nan)]
+
+    before, after = _median([neighbour(-k) for k in range(1, rules.near + 1)]), _median([neighbour(k) for k in range(1, rules.near + 1)])
+    previous, following = neighbour(-1), neighbour(1)
+    level = _momentary(a_value - before, a_value - after)
+    jump = _momentary(a_value - previous, a_value - following)
+    # What the time of day adds to the level, from the possible readings.
+    grows = np.arange(len(a_value)) < len(u_value)
+    quarter = a_source * 4 + (a_at // (DAY // 4)) % 4
+    daily = np.bincount(quarter[grows], weights=np.clip(level / scale, -rules.ordinary, rules.ordinary)[grows], minlength=4 * n_source) / np.maximum(np.bincount(quarter[grows], minlength=4 * n_source), 1)
+    # How surprising a run is: the source repeats a reading with chance q, judged without the run itself.
+    repeats, pairs = np.bincount(u_source, weights=run - 1, minlength=n_source), np.bincount(u_source, weights=run, minlength=n_source) - 1
+    q = (repeats[u_source] - (run - 1) + rules.pairs * rules.repeats) / (pairs[u_source] - (run - 1) + rules.pairs)
+    unlikely = np.r_[-(run - 1) * np.log(q) * (rules.ordinary / rules.surprise), np.zeros(len(odd))]
+    features = np.clip(np.stack([level / scale, jump / scale, level / scale - daily[quarter], unlikely], axis=1), -rules.clip, rules.clip)
+    if len(odd):
+        order = np.lexsort((np.r_[np.arange(len(u_value)) * 2, behind * 2 + 1], a_source))
+        scores = np.empty(len(a_value))
+        scores[order] = forest_scores(np.unique(a_source[order], return_inverse=True)[1], features[order], grows[order], rules)
+    else:
+        scores = forest_scores(np.unique(a_source, return_inverse=True)[1], features, grows, rules)
+    score[take], score[odd] = scores[: len(u_value)][unit], scores[len(u_value) :]
+    # From here on units only. The kinds by shape: runs that leave both levels to one side, at once, and return.
+    m = len(u_value)
+    unusual = scores[:m] >= rules.unusual
+    before, after, previous, following = before[:m], after[:m], previous[:m], following[:m]
+    by_length = unlikely[:m] >= np.abs(features[:m, :3]).max(axis=1)
+    is_spike = np.zeros(m, dtype=bool)
     for long in range(1, rules.longest + 1):
-        m = len(u_value) - long + 1
-        if m <= 0:
+        if m < long:
             break
-        head, tail = np.arange(m), np.arange(m) + long - 1
-        same = u_source[head] == u_source[tail]
-        b, a = before[head], after[tail]
-        least, most = u_value[head].copy(), u_value[head].copy()
-        held, some = run[head].copy(), candidate[head].copy()
+        head = np.flatnonzero(unusual[: m - long + 1])
+        tail = head + long - 1
+        held, least, most, all_ = run[head], u_value[head], u_value[head], u_source[head] == u_source[tail]
         for k in range(1, long):
-            least, most = np.minimum(least, u_value[head + k]), np.maximum(most, u_value[head + k])
-            held, some = held + run[head + k], some | candidate[head + k]
-        height = np.maximum(least - np.maximum(a, b), np.minimum(a, b) - most)
+            held, least, most = held + run[head + k], np.minimum(least, u_value[head + k]), np.maximum(most, u_value[head + k])
+            all_ = all_ & unusual[head + k]
         with np.errstate(invalid="ignore"):
-            hit = same & some & (held <= rules.readings) & (height >= rules.steps * scale[head])
+            height = np.maximum(least - np.maximum(after[tail], before[head]), np.minimum(after[tail], before[head]) - most)
+            hit = all_ & (held <= rules.readings) & (height > 0)
             hit &= (np.abs(u_value[head] - previous[head]) >= rules.abrupt * height) & (np.abs(u_value[tail] - following[tail]) >= rules.abrupt * height)
         for k in range(long):
-            spike[head[hit] + k] = True
-    # Stuck runs.
-    short = np.where(run < rules.stuck, run, 0)
-    other = np.zeros(n_source)
-    np.maximum.at(other, u_source, short)
-    stuck = candidate & (run >= rules.stuck) & (run >= rules.stuck_times * other[u_source])
-    return score[unit], spike[unit], stuck[unit]
+            is_spike[head[hit] + k] = True
+    is_stuck = unusual & by_length & (run > 2)
+    spike[take], stuck[take] = (is_spike & ~by_length)[unit], is_stuck[unit]
+    return score, spike, stuck
 
 
 #: Readings judged at once, and readings of a longer series that are kept as context for its next piece.
 BLOCK, CONTEXT, PENDING = 100_000, 256, 64
 
 
+def _numbered(pdf: pd.DataFrame) -> np.ndarray:
+    """The number of the series of each row of a sorted block."""
+    a, b = pdf["series"].to_numpy(), pdf["series_too"].to_numpy()
+    return np.cumsum(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+
+
 def _verdicts(pdf: pd.DataFrame, rules: Rules) -> pd.DataFrame:
     """(row_id, score, reason) of the rows to report among readings sorted by (series, time, row_id, storing time)."""
     pdf = pdf[pdf["value"].notna()]
     if pdf.empty:
         return pd.DataFrame({"row_id": pdf["row_id"], "score": pdf["value"], "reason": pd.Series([], dtype=object)})
-    row, series = pdf["row_id"].to_numpy(), pdf["series"].to_numpy()
-    pdf = pdf[np.r_[True, (row[1:] != row[:-1]) | (series[1:] != series[:-1])]]
-    judged = (pdf["possible"] & pdf["known"]).to_numpy()
-    score, reason = np.where(pdf["possible"], 0.5, 1.0), np.where(pdf["possible"], None, "limit").astype(object)
-    if judged.any():
-        part = pdf[judged]
-        got, spike, stuck = judge(part["series"].to_numpy(), part["at_us"].to_numpy(), part["value"].to_numpy(), part["floor"].to_numpy(), rules)
-        score[judged] = got
-        reason[judged] = np.where(stuck, "stuck", np.where(spike, "spike", None))
+    row, series = pdf["row_id"].to_numpy(), _numbered(pdf)
+    first = np.r_[True, (row[1:] != row[:-1]) | (series[1:] != series[:-1])]
+    pdf, series = pdf[first], series[first]
+    possible = pdf["possible"].to_numpy()
+    # Without a source or time a reading has no neighbours: it is a series of its own.
+    score, spike, stuck = judge(series, pdf["at_us"].to_numpy(), pdf["value"].to_numpy(), pdf["floor"].to_numpy(), possible, rules)
+    reason = np.where(~possible, "limit", np.where(stuck, "stuck", np.where(spike, "spike", None))).astype(object)
     return pd.DataFrame({"row_id": pdf["row_id"], "score": score, "reason": reason})[pdf["own"].to_numpy()]
 
 
@@ -227,7 +292,7 @@ def _judge_sorted(batches: Iterator[pd.DataFrame], rules: Rules) -> Iterator[pd.
         if size < BLOCK:
             continue
         block = pd.concat(held, ignore_index=True)
-        series = block["series"].to_numpy()
+        series = _numbered(block)
         other = series[::-1] != series[-1]
         last = len(series) - int(np.argmax(other)) if other.any() else 0
         if last:
@@ -250,15 +315,15 @@ def score_readings(readings: DataFrame, stretch_days: int = 60, overlap_days: in
 
     `readings` has (row_id, source, at_us, stored_us, value, possible, floor): possible says whether
     the value is within its physical limits, floor is the least step that counts as typical. Of rows
-    with one row_id that with the least stored_us counts. Impossible readings (`limit`, score 1) don't
-    count as neighbours of others. Rows with a null row_id or value are left out; with a null source
+    with one row_id that with the least stored_us counts. Impossible readings (`limit`) are scored like
+    others, but don't count as their neighbours. Rows with a null row_id or value are left out; with a null source
     or time only the limits are applied. Readings at one time are taken in the order of row_id.
     Sources of one or two readings get the neutral score 0.5 and no flag. Copies of a row must agree
     in source and time, so that they meet.
 
-    A stretch of `stretch_days` is judged together with `overlap_days` on both sides, and a longer
-    series than BLOCK readings in pieces; runs and levels that reach farther are cut there. A task
-    goes through its sorted series as a stream and holds one block, however long a series is.
+    What is normal is that of a stretch of `stretch_days` around a reading, with `overlap_days` on both sides, and
+    of at most BLOCK readings around it. A task goes through its sorted series as a stream and holds
+    one block, however long a series is.
     """
     ship(readings.sparkSession)
     length, margin = stretch_days * DAY, overlap_days * DAY
@@ -270,10 +335,10 @@ def score_readings(readings: DataFrame, stretch_days: int = 60, overlap_days: in
     # A reading near a border also stands in the next stretch, where it is context only.
     spans = F.array_distinct(F.array(own, F.expr(f"(at_us - {margin}) div {length}"), F.expr(f"(at_us + {margin}) div {length}")))
     rows = rows.withColumn("own", own).withColumn("stretch", F.explode(spans)).withColumn("own", F.col("own") == F.col("stretch"))
-    # Without a source a row is a series of its own.
-    series = F.when(F.col("known"), F.xxhash64("source", "stretch")).otherwise(F.xxhash64("row_id"))
-    rows = rows.withColumn("series", series).select("series", "row_id", "at_us", "stored_us", "value", "floor", "possible", "known", "own")
-    order = ["series", "at_us", "row_id", F.asc_nulls_last("stored_us")]
+    # Without a source a row is a series of its own. Two hashes make a key of 128 bits, so that no two sources share one.
+    part = lambda salt: F.when(F.col("known"), F.xxhash64(F.lit(salt), "source", "stretch")).otherwise(F.xxhash64(F.lit(salt), "row_id"))
+    rows = rows.select(part(0).alias("series"), part(1).alias("series_too"), "row_id", "at_us", "stored_us", "value", "floor", "possible", "own")
+    order = ["series", "series_too", "at_us", "row_id", F.asc_nulls_last("stored_us")]
     kind = dict(readings.dtypes)["row_id"]
-    return rows.repartition("series").sortWithinPartitions(*order).mapInPandas(
+    return rows.repartition("series", "series_too").sortWithinPartitions(*order).mapInPandas(
         lambda batches: _judge_sorted(batches, rules), f"row_id {kind}, score double, reason string")
