@@ -73,7 +73,9 @@ _ASCII = re.compile("[a-z]{3,}")
 #: Scripts without spaces between words, and letters with the vowel signs of scripts that write them apart.
 _DENSE = r"[฀-๿぀-ヿ㐀-鿿가-힯]"
 _LETTER = rf"(?:(?!{_DENSE})[^\W\d_]|[֑-ׇً-ٟऀ-ॣ॰-෿])"
+_APART = re.compile("[֑-ׇً-ٟऀ-෿฀-๿぀-ヿ㐀-鿿가-힯]")
 _WORD = re.compile(rf"(?=({_DENSE}{{2}}))|({_LETTER}{{3,}})")
+_PLAIN = re.compile(r"[^\W\d_]{3,}")
 
 
 def words(text: str) -> list[str]:
@@ -84,4 +86,6 @@ def words(text: str) -> list[str]:
     if text.isascii():
         return _ASCII.findall(text.lower())
     text = _DROP.sub("", unicodedata.normalize("NFC", text))
+    if not _APART.search(text):
+        return _PLAIN.findall(text.lower())
     return [m[1] or m[2] for m in _WORD.finditer(text.lower())]
