@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import pytest
+
 from tidewell.operators.components import components
 from tidewell.operators.splits import balanced_splits, difference
 
@@ -64,3 +66,25 @@ def test_splits_keep_groups_and_shares(spark):
     again = balanced_splits(groups.repartition(7), [("train", 0.8), ("validate", 0.1), ("test", 0.1), ("none", 0.0)], bins=50, block=700).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
     assert balanced_splits(groups.limit(0), [("train", 1.0)]).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["equal", "heavy tail", "giant"])
+def test_bins_of_many_blocks_are_as_even_as_of_one(spark, monkeypatch, kind):
+    from tidewell.operators import splits as S
+
+    random.seed(8)
+    n, bins = 12_800, 10
+    weights = [3.0] * n if kind == "equal" else [float(int(random.paretovariate(1.2)) + 1) for _ in range(n)]
+    if kind == "giant":
+        weights[77] = sum(weights) / 2
+    one = defaultdict(float)
+    for w, b in zip(weights, difference(weights, bins)):
+        one[b] += w
+    mean, seen = sum(weights) / bins, {}
+    monkeypatch.setattr(S, "_allocate", lambda slots, targets: seen.update(slots) or {b: "x" for b, _ in slots})
+    groups = spark.createDataFrame(list(enumerate(weights)), "group_id bigint, weight double")
+    for blocks in (1, 2, 8, 16):
+        seen.clear()
+        assert balanced_splits(groups, [("x", 1.0)], bins, n // blocks).count() == n
+        assert len(seen) == bins and sum(seen.values()) == sum(weights)
+        assert max(seen.values()) / mean <= max(one.values()) / mean + 0.002

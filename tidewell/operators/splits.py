@@ -2,23 +2,26 @@
 
 Groups are combined into bins of nearly equal weight by largest differencing: the extreme
 weights (one that is far above and one that is far below) are put together again and
-again. Blocks of groups are combined by many tasks, each into `bins` bins; the blocks'
-bins are then paired across blocks, the heaviest with the lightest, until one set is left.
-Whole bins go to the splits by how far each is from its target.
+again. First the heavy groups, which are few by definition, are combined into `bins` sums. Then blocks
+of light groups are combined by many tasks: each block starts from its part of those sums, and its
+groups fill them up, so the bins of a block are even whatever the heavy groups left. The same bins
+of all blocks are one bin, which is relatively as even as a block's. Whole bins go to the splits by
+how far each is from its target.
 """
 
 from __future__ import annotations
 
 import heapq
+import random
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tidewell.session import ship
+from tidewell.session import cut, ship
 
 
-def difference(weights: list[float], bins: int) -> list[int]:
-    """Bin of each weight, by largest differencing into `bins` bins.
+def difference(weights: list[float], bins: int, start: list[float] | None = None) -> list[int]:
+    """Bin of each weight, by largest differencing into `bins` bins, which may hold `start` before.
 
     Every weight starts as a tuple with itself in one bin. The two tuples with the largest
     spread are combined, largest sums with smallest, until one tuple is left.
@@ -26,8 +29,12 @@ def difference(weights: list[float], bins: int) -> list[int]:
     heap: list[tuple] = []
     for i, w in enumerate(weights):
         heap.append((-float(w), i, [(float(w), [i])]))
+    if start is not None:
+        # What is there already is a tuple too; bin k is marked by the id -1 - k.
+        first = sorted(((float(w), [-1 - k]) for k, w in enumerate(start)), key=lambda p: -p[0])
+        heap.append((first[-1][0] - first[0][0], len(weights), first))
     heapq.heapify(heap)
-    serial = len(weights)
+    serial = len(weights) + 1
     while len(heap) > 1:
         _, _, x = heapq.heappop(heap)
         _, _, y = heapq.heappop(heap)
@@ -45,8 +52,10 @@ def difference(weights: list[float], bins: int) -> list[int]:
         serial += 1
     out = [0] * len(weights)
     for b, (_, ids) in enumerate(heap[0][2] if heap else []):
+        marked = -1 - min(ids) if start is not None else b
         for i in ids:
-            out[i] = b
+            if i >= 0:
+                out[i] = marked
     return out
 
 
@@ -66,34 +75,37 @@ def _allocate(bins: list[tuple[str, float]], targets: list[tuple[str, float]]) -
 def balanced_splits(groups: DataFrame, targets: list[tuple[str, float]], bins: int = 200, block: int = 20_000) -> DataFrame:
     """`groups` (group_id, weight) with the column split added.
 
-    Each block of about `block` groups is combined in one task; the number of blocks follows
-    the number of groups. Equal weights are taken in the order of a hash of group_id, so
+    Heavy are the groups above a `block`-th of the whole weight: fewer than `block`, one task. Light groups
+    are combined in blocks of about `block`. Equal weights are taken in the order of a hash of group_id, so
     the result depends on the data alone. A null weight counts as zero, a null group_id is
     left out. Repeated group_ids must be summed before. Shares are relative; a split with
     share zero or null gets nothing. Without groups the result is empty.
     """
     ship(groups.sparkSession)
     rows = groups.where("group_id is not null").select("group_id", F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"))
-    n = rows.count()
-    blocks = max(1, -(-n // block))
+    rows = cut(rows.withColumn("tie", F.xxhash64("group_id")))
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")).first()
+    blocks, limit = max(1, -(-whole.n // block)), (whole.weight or 0.0) / block
+    kind = dict(rows.dtypes)["group_id"]
 
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["weight", "tie", "group_id"], ascending=[False, True, True], ignore_index=True)
-        pdf["bin"] = difference(pdf["weight"].tolist(), bins)
-        return pdf[["group_id", "weight", "block", "bin"]]
+    def combine(light: bool, start: list[float]):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["weight", "tie", "group_id"], ascending=[False, True, True], ignore_index=True)
+            # Bins that hold the same are taken in another order in each block, so that no bin is always first.
+            order = list(range(bins))
+            random.Random(int(pdf["block"].iloc[0])).shuffle(order)
+            pdf["bin"] = [order[b] for b in difference(pdf["weight"].tolist(), bins, [start[k] for k in order])]
+            return pdf[["group_id", "weight", "bin"]]
 
-    kind = dict(rows.dtypes)["group_id"]
-    placed = rows.withColumn("tie", F.xxhash64("group_id")).withColumn("block", F.pmod("tie", F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(
-        combine, f"group_id {kind}, weight double, block int, bin int")
-    sums = placed.groupBy("block", "bin").agg(F.sum("weight").alias("weight"))
-    # Block bins in order of weight, alternately from both ends: bin k of an even block meets bin -k of an odd one.
-    order = Window.partitionBy("block").orderBy(F.desc("weight"), "bin")
-    ranked = sums.withColumn("rank", F.row_number().over(order) - 1).withColumn(
-        "slot", F.when(F.col("block") % 2 == 0, F.col("rank")).otherwise(bins - 1 - F.col("rank")))
-    slots = ranked.groupBy("slot").agg(F.sum("weight").alias("weight"))
-    # At most `bins` rows, whatever the input: the only thing the driver sees.
-    chosen = _allocate([(str(r.slot), r.weight) for r in slots.collect()], targets)
-    spark = groups.sparkSession
-    split_of = spark.createDataFrame([(int(k), v) for k, v in chosen.items()], "slot int, split string")
-    where = ranked.join(F.broadcast(split_of), "slot").select("block", "bin", "split")
-    return placed.join(where, ["block", "bin"]).select("group_id", "weight", "split")
+        part = rows.where(F.col("weight") <= limit if light else F.col("weight") > limit)
+        part = part.withColumn("block", F.pmod("tie", F.lit(blocks)).cast("int") if light else F.lit(-1))
+        return part.groupBy("block").applyInPandas(run, f"group_id {kind}, weight double, bin int")
+
+    heavy = cut(combine(False, [0.0] * bins))
+    # At most `bins` rows here and below, whatever the input: the only things the driver sees.
+    sums = {r.bin: r.weight for r in heavy.groupBy("bin").agg(F.sum("weight").alias("weight")).collect()}
+    placed = cut(heavy.unionByName(combine(True, [sums.get(k, 0.0) / blocks for k in range(bins)])))
+    slots = placed.groupBy("bin").agg(F.sum("weight").alias("weight")).collect()
+    chosen = _allocate([(str(r.bin), r.weight) for r in slots], targets)
+    split_of = groups.sparkSession.createDataFrame([(int(k), v) for k, v in chosen.items()], "bin int, split string")
+    return placed.join(F.broadcast(split_of), "bin").select("group_id", "weight", "split")
