@@ -95,3 +95,11 @@ def test_asof_tolerance_ties_and_nulls(spark):
 def test_last_values_skip_nulls(spark):
     rows = spark.createDataFrame([("x", "a", 1, 5.0, 1), ("x", "a", 2, None, 2), ("x", "b", 1, 7.0, 3), ("x", "b", 1, 8.0, 4)], "k string, n string, at int, v double, id int")
     assert [tuple(r) for r in last_values(rows, ["k"], "n", ["a", "b", "c"], "at", "v", "id").collect()] == [("x", 5.0, 8.0, None)]
+
+
+def test_days_far_apart_make_no_calendar_between_them(spark):
+    rows = spark.createDataFrame([("x", dt.date(1900, 1, 1), 5.0), ("x", dt.date(2026, 1, 1), 7.0), ("x", dt.date(2026, 1, 3), 1.0)], "k string, d date, v double")
+    got = trailing_totals(daily_totals(rows, ["k"], "d", "v"), ["k"], [7, 30])
+    days = {r.day: (r.total_7, r.total_30) for r in got.collect()}
+    assert len(days) == 62 and days[dt.date(2026, 1, 3)] == (8.0, 8.0) and days[dt.date(1900, 1, 30)] == (0.0, 5.0) and days[dt.date(2026, 2, 1)] == (0.0, 1.0)
+    assert "sequence(min(day" not in got._jdf.queryExecution().toString()

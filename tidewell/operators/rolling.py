@@ -1,9 +1,9 @@
 """Totals over trailing days, for every calendar day of an entity.
 
 Rows are first summed to one total a day, which bounds what follows: an entity has at most
-one row for each day and measure, however many rows it had. The calendar of an entity runs
-from its first active day to the last day that its last active day still reaches. Each
-calendar day is range-joined to the daily totals within its longest window; the join is an
+one row for each day and measure, however many rows it had. The calendar of an entity holds
+the days that an active day still reaches, so two active days far apart leave no days between
+them. Each calendar day is range-joined to the daily totals within its longest window; the join is an
 equi-join on coarse date buckets as long as that window, each total standing in its own
 bucket and the next, so that only neighbours are compared.
 """
@@ -29,9 +29,10 @@ def trailing_totals(totals: DataFrame, keys: list[str], windows: list[int]) -> D
     """
     longest = max(windows)
     keyed = totals.withColumn("_k", F.xxhash64(*keys))
-    # Each active day is followed by a calendar of days up to the next active day, at most `longest` of them.
-    calendar = keyed.groupBy(*keys, "_k").agg(F.min("day").alias("_first"), F.max("day").alias("_last")).select(
-        *keys, "_k", F.explode(F.sequence("_first", F.col("_last") + (longest - 1))).alias("day"))
+    # Each active day is followed by the days up to the next one, at most `longest` of them. An entity has one row a day here.
+    reach = lambda day, i: F.sequence(day, F.least(day + (longest - 1), F.coalesce(F.get("_days", i + 1) - 1, day + (longest - 1))))
+    calendar = keyed.groupBy(*keys, "_k").agg(F.array_sort(F.collect_set("day")).alias("_days")).select(
+        *keys, "_k", F.explode(F.flatten(F.transform("_days", reach))).alias("day"))
     left = calendar.withColumn("_bucket", F.expr(f"day div {longest}"))
     right = keyed.select(F.col("_k"), *[F.col(k).alias(f"_r_{k}") for k in keys], F.col("day").alias("_day"), "total",
                          F.explode(F.array(F.expr(f"day div {longest}"), F.expr(f"day div {longest} + 1"))).alias("_bucket"))
