@@ -17,19 +17,23 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, name: str = "tide
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.adaptive.enabled", "true").getOrCreate()
+        .config("spark.sql.adaptive.enabled", "true")
+        # Checkpoints go when nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     )
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see. Only where the cluster
-    names none (local tests) one is made."""
+    """The folder in spark.checkpoint.dir, which all executors see. Where none is named, a local
+    session (tests) gets one of its own; on a cluster that is an error, since executors wouldn't see it."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
     made = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(made)
     return made
