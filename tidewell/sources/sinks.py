@@ -1,19 +1,21 @@
-"""Writers: partitioned event tables, result tables with a fixed schema, manifests and marks."""
+"""Writers: partitioned event tables, result tables with a fixed schema."""
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
-def write_events(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Event rows by modality and shard. Rows are brought together by partition first, salted, so that
-    a shard has a few files and no task holds a whole one."""
-    salt = F.pmod(F.xxhash64("subject_id", "time"), F.lit(8))
-    df.repartition("modality", "shard", salt).write.mode(mode).partitionBy("modality", "shard").parquet(path)
+def write_events(df: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = 5_000_000) -> None:
+    """Event rows by modality and shard. Rows are brought together by partition first; a shard is
+    spread over as many tasks as its number of rows asks for, so none holds much more than `rows_per_file`."""
+    size = df.groupBy(F.col("modality").alias("_m"), F.col("shard").alias("_s")).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("_files"))
+    # One row for each folder of the table: shards are two digits, modalities a handful.
+    same = F.col("modality").eqNullSafe(F.col("_m")) & F.col("shard").eqNullSafe(F.col("_s"))
+    spread = df.join(F.broadcast(size), same).select(*df.columns, F.pmod(F.xxhash64("subject_id", "time"), F.col("_files")).alias("_salt"))
+    spread.repartition("modality", "shard", "_salt").drop("_salt").write.mode(mode).partitionBy("modality", "shard").parquet(path)
 
 
 def write_delimited(df: DataFrame, path: str) -> None:
@@ -22,24 +24,33 @@ def write_delimited(df: DataFrame, path: str) -> None:
 
 
 class Results:
-    """Result tables with fixed schemas below one folder: unknown columns are refused, missing ones are null."""
+    """Result tables with fixed schemas below one folder: unknown columns are refused, missing ones are null.
+
+    A table is a folder of versions; the highest version that was written to its end (Spark's _SUCCESS
+    file) is the table. A run that stops halfway leaves the version before it in place.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, schemas: dict[str, StructType]):
         self.spark, self.folder, self.schemas = spark, folder, schemas
 
-    def _path(self, name: str) -> str:
+    def _files(self, path: str) -> tuple:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self, name: str) -> list[str]:
+        """The finished versions, oldest first."""
         if name not in self.schemas:
             raise KeyError(f"no result table {name}")
-        return f"{self.folder}/{name}"
-
-    def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        at, system = self._files(f"{self.folder}/{name}")
+        if not system.exists(at):
+            return []
+        found = [str(s.getPath().toString()) for s in system.listStatus(at)]
+        return sorted(f for f in found if system.exists(self._files(f"{f}/_SUCCESS")[0]))
 
     def read(self, name: str) -> DataFrame:
         """The rows so far; none if nothing was written."""
-        path = self._path(name)
-        return self.spark.read.schema(self.schemas[name]).parquet(path) if self._exists(name) else self.spark.createDataFrame([], self.schemas[name])
+        done = self._versions(name)
+        return self.spark.read.schema(self.schemas[name]).parquet(done[-1]) if done else self.spark.createDataFrame([], self.schemas[name])
 
     def _fitted(self, name: str, rows: DataFrame) -> DataFrame:
         schema = self.schemas[name]
@@ -48,18 +59,25 @@ class Results:
             raise ValueError(f"{name} has no columns {unknown}")
         return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
+    def _write(self, name: str, rows: DataFrame) -> None:
+        done = self._versions(name)
+        number = int(done[-1].rsplit("/", 1)[1].split("-")[1]) + 1 if done else 0
+        rows.write.parquet(f"{self.folder}/{name}/v-{number:012d}-{uuid4().hex}")
+        # Readers of the version before may still be at work; older ones go.
+        for old in done[:-1]:
+            at, system = self._files(old)
+            system.delete(at, True)
+
     def append(self, name: str, rows: DataFrame) -> None:
         """Adds rows."""
-        path = self._path(name)
-        self._fitted(name, rows).write.mode("append").parquet(path)
+        self._write(name, self.read(name).unionByName(self._fitted(name, rows)))
 
     def replace(self, name: str, rows: DataFrame, **where: object) -> None:
         """Removes the rows that match all of `where` (a value, a list of values, or None for null) and adds `rows`.
 
-        A run that is repeated leaves the table as one run would. The new table is written beside
-        the old one and takes its place afterwards.
+        A run that is repeated leaves the table as one run would.
         """
-        path, keep = self._path(name), F.lit(True)
+        keep = F.lit(True)
         if where:
             match = F.lit(True)
             for column, wanted in where.items():
@@ -69,43 +87,10 @@ class Results:
                     one = one | F.col(column).eqNullSafe(F.lit(v))
                 match = match & one
             keep = ~match
-        fresh = f"{path}.new"
-        self.read(name).where(keep).unionByName(self._fitted(name, rows)).write.mode("overwrite").parquet(fresh)
-        jvm = self.spark._jvm
-        old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-        system = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if system.exists(old):
-            system.delete(old, True)
-        system.rename(new, old)
+        self._write(name, self.read(name).where(keep).unionByName(self._fitted(name, rows)))
 
     def templates(self) -> None:
         """Writes every table that doesn't exist, without rows."""
         for name, schema in self.schemas.items():
-            if not self._exists(name):
-                self.spark.createDataFrame([], schema).write.parquet(self._path(name))
-
-
-def manifest(spark: SparkSession, entries: dict[str, object]) -> DataFrame:
-    """(key, value): settings of a run as text, sorted."""
-    return spark.createDataFrame(sorted((k, str(v)) for k, v in entries.items()), "key string, value string")
-
-
-class Marks:
-    """Marks of finished units of work, so that a stopped run can go on."""
-
-    def __init__(self, folder: str | Path):
-        self.folder = Path(folder)
-
-    def _file(self, stage: str, unit: str) -> Path:
-        return self.folder / f"{stage}__{unit}.json"
-
-    def done(self, stage: str, unit: str) -> bool:
-        return self._file(stage, unit).exists()
-
-    def mark(self, stage: str, unit: str, **facts: object) -> None:
-        self.folder.mkdir(parents=True, exist_ok=True)
-        self._file(stage, unit).write_text(json.dumps(facts, default=str, sort_keys=True))
-
-    def clear(self, stage: str) -> None:
-        for f in self.folder.glob(f"{stage}__*.json"):
-            f.unlink()
+            if not self._versions(name):
+                self._write(name, self.spark.createDataFrame([], schema))
