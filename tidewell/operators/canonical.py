@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewell.sources import first_deliveries
+
 #: Column -> SQL expression over the source table; what a source lacks is null.
 SOURCES = {
     "features": {"subject_id": "subject_id", "hadm_id": "hadm_id", "stay_id": "stay_id", "time": "time", "modality": "modality", "type": "type",
-                 "value_num": "value_num", "value_txt": "value_txt", "uom": "uom", "is_intervention": "is_intervention", "_once": "event_id"},
+                 "value_num": "value_num", "value_txt": "value_txt", "uom": "uom", "is_intervention": "is_intervention", "_once": "event_id", "_stored": "storetime"},
     "events": {"subject_id": "user_id", "time": "ts", "modality": "'web'", "type": "event_type", "value_num": "value", "value_txt": "props", "is_intervention": "event_type = 'purchase'"},
     "lineitem": {"subject_id": "o_custkey", "time": "l_shipdate", "modality": "'trade'", "type": "l_returnflag", "value_num": "l_quantity", "is_intervention": "false"},
 }
@@ -39,10 +41,12 @@ def canonical(df: DataFrame, spec: dict[str, str]) -> DataFrame:
     """`df` in the form of the event stream, with its shard.
 
     NaN becomes null, and a value that can't be cast becomes null. A spec with `_once` names the id
-    of an event; of rows with one id one is kept.
+    of an event, with `_stored` the time a row was stored and plain columns otherwise; of rows with one id the
+    first delivery counts (ties by their values), and rows without an id aren't counted.
     """
     if "_once" in spec:
-        df = df.dropDuplicates([spec["_once"]])
+        plain = {c for k, c in spec.items() if not k.startswith("_")}
+        df = first_deliveries(df, [c for c in df.columns if c in plain], spec["_once"], spec["_stored"])
     out = df.select(*[F.expr(f"try_cast({spec[c]} as {kind})").alias(c) if c in spec else F.lit(None).cast(kind).alias(c) for c, kind in _COLUMNS.items()])
     return out.withColumn("value_num", F.nanvl("value_num", F.lit(None).cast("double"))).withColumn("shard", shard(F.col("subject_id")))
 
@@ -63,13 +67,17 @@ def clean(df: DataFrame, ranges: dict[str, tuple[float, float]] | None = None, c
 
 
 def profile(df: DataFrame, by: list[str]) -> DataFrame:
-    """Counts, filled shares, value range and distinct counts of each group, in one pass."""
+    """Counts, filled shares, value range and distinct counts of each group, in one pass.
+
+    Distinct shards, flags and types are few by nature (of two digits, two values, the types of an item
+    table), so their sets are aggregated as they are instead of expanding every row for each.
+    """
     share = lambda c: F.round(F.count(c) / F.count(F.lit(1)), 9)
     at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), share("value_num").alias("filled_num"), share("value_txt").alias("filled_txt"), share("uom").alias("filled_uom"),
         F.min("value_num").alias("low"), F.max("value_num").alias("high"), F.round(F.avg("value_num"), 6).alias("mean"),
-        F.countDistinct("shard").alias("shards"), F.countDistinct("is_intervention").alias("flags"), F.countDistinct("type").alias("types"),
+        F.size(F.collect_set("shard")).alias("shards"), F.size(F.collect_set("is_intervention")).alias("flags"), F.size(F.collect_set("type")).alias("types"),
         at(F.min("time")).alias("first_at"), at(F.max("time")).alias("last_at"))
 
 
