@@ -166,11 +166,12 @@ def predict(beta: dict[int, np.ndarray], features: list[str], group: str) -> Col
     return out
 
 
-def model_nuisances(df: DataFrame, features: list[str], folds: int = 3) -> DataFrame:
-    """`df` with e, m1, m0, kc from logistic regressions fitted on the other folds.
+def model_nuisances(df: DataFrame, features: list[str], folds: int = 5) -> DataFrame:
+    """`df` with e, m1, m0, kc and j1, j0 from logistic regressions fitted on the other folds.
 
-    Features are standardised over all rows, missing ones take the mean; the outcome models see
-    the observed rows of their arm.
+    Features are standardised over all rows, missing ones take the mean; the outcome models m1 and m0 see
+    the observed rows of their arm. j1 and j0 are one outcome model's predictions, which has the arm as
+    its last feature and sees the observed rows of both arms.
     """
     stats = df.agg(*[f(c).alias(f"{k}_{c}") for c in features for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     scaled = df.withColumn("fold", fold("id", folds))
@@ -182,19 +183,21 @@ def model_nuisances(df: DataFrame, features: list[str], folds: int = 3) -> DataF
     fits = {"e": logistic(scaled, z, "a", "fold", folds), "kc": logistic(scaled, z, "d", "fold", folds)}
     for arm in (1, 0):
         fits[f"m{arm}"] = logistic(scaled.where((F.col("a") == arm) & (F.col("d") == 1)), z, "y", "fold", folds)
-    return scaled.withColumns({k: predict(b, z, "fold") for k, b in fits.items()}).drop(*z)
+    joint = logistic(scaled.where("d = 1"), [*z, "a"], "y", "fold", folds)
+    out = scaled.withColumns({k: predict(b, z, "fold") for k, b in fits.items()} | {"_one": F.lit(1), "_none": F.lit(0)})
+    return out.withColumns({"j1": predict(joint, [*z, "_one"], "fold"), "j0": predict(joint, [*z, "_none"], "fold")}).drop(*z, "_one", "_none")
 
 
-def targeted(df: DataFrame, trim: float = 0.02, steps: int = 50) -> DataFrame:
-    """`df` (a, y, d, e, m1, m0, kc) with targeted outcome predictions q1 and q0 and psi.
+def targeted(df: DataFrame, trim: float = 0.02, steps: int = 100) -> DataFrame:
+    """`df` (a, y, d, e, j1, j0, kc) with targeted outcome predictions q1 and q0 and psi.
 
-    The outcome predictions are shifted on the logit scale along the clever covariate until the score
+    The predictions of the one outcome model are shifted on the logit scale along the clever covariate until the score
     is zero; each Newton step is one aggregation.
     """
     e = F.least(F.greatest(F.col("e"), F.lit(trim)), F.lit(1 - trim))
     cw = F.col("d") / F.least(F.greatest(F.col("kc"), F.lit(trim)), F.lit(1.0))
     logit = lambda q: F.ln(F.least(F.greatest(q, F.lit(1e-6)), F.lit(1 - 1e-6)) / (1 - F.least(F.greatest(q, F.lit(1e-6)), F.lit(1 - 1e-6))))
-    rows = df.withColumns({"_e": e, "_cw": cw, "_l1": logit(F.col("m1")), "_l0": logit(F.col("m0"))})
+    rows = df.withColumns({"_e": e, "_cw": cw, "_l1": logit(F.col("j1")), "_l0": logit(F.col("j0"))})
     rows = rows.withColumn("_h", F.col("_cw") * (F.col("a") / F.col("_e") - (1 - F.col("a")) / (1 - F.col("_e"))))
     rows = rows.withColumn("_la", F.when(F.col("a") == 1, F.col("_l1")).otherwise(F.col("_l0")))
     shift = 0.0

@@ -70,6 +70,20 @@ def _curve(df: DataFrame, score: str, label: str) -> tuple[DataFrame, DataFrame]
     return roc, run
 
 
+def auc_by(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
+    """(by, n_pos, n_neg, auroc) of each group, from one pass of running sums over all (group, score); null with one class only.
+
+    Rows with a null score, label or group are left out.
+    """
+    clean = df.select(*by, F.col(score).alias("_score"), F.col(label).cast("long").alias("_label")).dropna()
+    at = clean.groupBy(*by, "_score").agg(F.sum("_label").alias("pos"), F.sum(1 - F.col("_label")).alias("neg"))
+    run = cut(running_sums(at, [*by, "_score"], ["pos", "neg"]))
+    whole = run.groupBy(*by).agg(F.min(F.col("run_neg") - F.col("neg")).alias("_before"))
+    below = F.col("run_neg") - F.col("_before") - F.col("neg") / 2.0
+    total = run.join(whole, by).groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos").cast("double") * below).alias("_won"))
+    return total.select(*by, "n_pos", "n_neg", F.try_divide("_won", F.col("n_pos").cast("double") * F.col("n_neg")).alias("auroc"))
+
+
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """(n_pos, average_precision): precision at each distinct score, weighted by the recall it adds."""
     _, run = _curve(df, score, label)

@@ -34,12 +34,11 @@ def robustness(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def guarded(spark: SparkSession, sf: str) -> DataFrame:
-    """Effect of each nation within segments; estimates that can't be (beyond 100 points) or rest on few units become null and are marked."""
-    u = units(spark, sf).where("d = 1").groupBy("nation", "segment").agg(
-        (F.avg(F.when(F.col("a") == 1, F.col("y"))) * 100).alias("p1"), (F.avg(F.when(F.col("a") == 0, F.col("y"))) * 100).alias("p0"), F.count(F.lit(1)).alias("n"))
-    point = F.try_divide(F.col("p1") - F.col("p0"), F.lit(0.5))
-    fine = F.coalesce((F.abs(point) <= 100) & (F.col("n") >= 5), F.lit(False))
-    return u.select("nation", "segment", "n", F.when(fine, F.round(point, 6)).alias("point"), F.when(fine, "ok").otherwise("undefined").alias("status"))
+    """Adjusted effect of each nation and segment; estimates that can't be (beyond 100 points) or rest on few units become null and are marked."""
+    rows = E.influence(E.rate_nuisances(units(spark, sf), strata=["segment", "nation"]), trim=1e-6)
+    u = rows.groupBy("nation", "segment").agg((F.avg("psi") * 100).alias("raw"), F.count(F.lit(1)).alias("n"))
+    fine = F.coalesce((F.abs("raw") <= 100) & (F.col("n") >= 5), F.lit(False))
+    return u.select("nation", "segment", "n", F.when(fine, F.round("raw", 5)).alias("point"), F.when(fine, "ok").otherwise("undefined").alias("status"))
 
 
 def set_operations(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,8 +87,8 @@ ORACLES = {
     "subgroup_effects": f"""{_UNITS}, {_psi('naive', chr(39) + 'all' + chr(39))}, s AS (SELECT segment, avg(psi) * 100 AS point, stddev_samp(psi) / sqrt(count(psi)) * 100 AS se, count(psi) AS n FROM naive_p GROUP BY 1
   HAVING count(*) FILTER (a = 1 AND d = 1 AND y = 1) >= 20 AND count(*) FILTER (a = 0 AND d = 1 AND y = 1) >= 20), f AS (SELECT *, first_value(point) OVER (ORDER BY segment) AS p0, first_value(se) OVER (ORDER BY segment) AS s0 FROM s)
 SELECT segment, n, round(point, 5) AS point, round(point - p0, 5) AS difference, round((point - p0) / sqrt(se * se + s0 * s0), 5) AS z FROM f""",
-    "guarded": f"""{_UNITS}, g AS (SELECT nation, segment, avg(y) FILTER (a = 1) * 100 AS p1, avg(y) FILTER (a = 0) * 100 AS p0, count(*) AS n FROM u WHERE d = 1 GROUP BY 1, 2), k AS (SELECT *, (p1 - p0) / 0.5::DOUBLE AS point FROM g)
-SELECT nation, segment, n, CASE WHEN abs(point) <= 100 AND n >= 5 THEN round(point, 6) END AS point, CASE WHEN abs(point) <= 100 AND n >= 5 THEN 'ok' ELSE 'undefined' END AS status FROM k""",
+    "guarded": f"""{_CELLS}, q AS (SELECT nation, segment, count(*) AS n, avg(psi) * 100 AS raw FROM p GROUP BY 1, 2)
+SELECT nation, segment, n, CASE WHEN abs(raw) <= 100 AND n >= 5 THEN round(raw, 5) END AS point, CASE WHEN abs(raw) <= 100 AND n >= 5 THEN 'ok' ELSE 'undefined' END AS status FROM q""",
     "set_operations": """WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')
 SELECT 'both' AS what, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'urgent only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""",
     "tail_band": "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.025), 4) AS low, round(quantile_cont(o_totalprice, 0.975), 4) AS high, round(avg((o_totalprice > 200000)::INT), 8) AS above, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS cheapest FROM orders GROUP BY 1",

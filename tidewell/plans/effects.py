@@ -154,16 +154,6 @@ def segment_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return wide.withColumn("ratio", F.round(F.try_divide(F.greatest(*segments), F.least(*segments)), 6))
 
 
-def decisions(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdict for each segment on adding it as a feature: what it tells of arm and outcome, and what it costs."""
-    u = units(spark, sf)
-    whole = u.agg(F.avg("a").alias("ga"), F.avg("y").alias("gy"))
-    rows = u.groupBy("segment").agg(F.avg("a").alias("sa"), F.avg("y").alias("sy"), F.count(F.lit(1)).alias("n")).join(F.broadcast(whole))
-    gains = rows.withColumns({"gain_a": F.abs(F.col("sa") - F.col("ga")) * 1000, "gain_y": F.abs(F.col("sy") - F.col("gy")) * 1000, "cost": F.abs(F.col("sa") - F.col("ga")) * 10})
-    accept, reason = S.verdict(F.col("gain_a"), F.col("gain_y"), F.col("cost"))
-    return gains.select("segment", F.round("gain_a", 6).alias("gain_a"), F.round("gain_y", 6).alias("gain_y"), accept.alias("accept"), reason.alias("reason"))
-
-
 def block_cost(spark: SparkSession, sf: str) -> DataFrame:
     """Share of the effective sample that adjusting for the segment costs."""
     each = _conditions(spark, sf).groupBy("condition").agg(E.effective_size("w", "keep").alias("ess"))
@@ -172,7 +162,7 @@ def block_cost(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_effects(spark: SparkSession, sf: str) -> DataFrame:
-    """Cross-fitted estimate with logistic nuisance models, and its targeted form."""
+    """Cross-fitted estimate with logistic nuisance models over five folds, and its targeted form."""
     rows = cut(E.model_nuisances(units(spark, sf), FEATURES))
     parts = []
     for name, df in (("aipw", E.influence(rows)), ("targeted", E.targeted(rows))):
@@ -186,9 +176,9 @@ def information_gain(spark: SparkSession, sf: str) -> DataFrame:
     out = []
     for label in ("a", "y"):
         for name, features in (("base", FEATURES[:2]), ("full", FEATURES)):
-            rows = units(spark, sf).withColumn("fold", E.fold("id", 3)).na.fill({"lines": 0})
+            rows = units(spark, sf).withColumn("fold", E.fold("id")).na.fill({"lines": 0})
             rows = cut(rows.withColumn("balance", F.col("balance") / 5000).withColumn("log_price", F.col("log_price") - 11))
-            scored = rows.withColumn("p", F.round(E.predict(E.logistic(rows, features, label, "fold", 3), features, "fold"), 6))
+            scored = rows.withColumn("p", F.round(E.predict(E.logistic(rows, features, label, "fold", 5), features, "fold"), 6))
             out.append(R.auc(scored, "p", label).select(F.lit(label).alias("label"), F.lit(name).alias("features"), "auroc"))
     one = out[0]
     for o in out[1:]:
@@ -291,10 +281,7 @@ FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL) SELE
 UNION ALL SELECT 'treated', count(*) FROM u WHERE d = 1 AND lines IS NOT NULL AND a = 1""",
     "segment_pivot": f"""{_UNITS}, p AS (SELECT nation, {", ".join(f"round(avg(y) FILTER (segment = '{s}'), 8) AS {s}" for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))} FROM u GROUP BY 1)
 SELECT *, round(greatest(AUTOMOBILE, BUILDING, FURNITURE, HOUSEHOLD, MACHINERY) / nullif(least(AUTOMOBILE, BUILDING, FURNITURE, HOUSEHOLD, MACHINERY), 0), 6) AS ratio FROM p""",
-    "decisions": f"""{_UNITS}, g AS (SELECT avg(a) AS ga, avg(y) AS gy FROM u), s AS (SELECT segment, avg(a) AS sa, avg(y) AS sy FROM u GROUP BY 1), k AS (SELECT segment, abs(sa - ga) * 1000 AS ka, abs(sy - gy) * 1000 AS ky, abs(sa - ga) * 10 AS cost FROM s, g)
-SELECT segment, round(ka, 6) AS gain_a, round(ky, 6) AS gain_y, ka >= 2 AND ky >= 2 AND cost <= 0.15 AS accept, CASE WHEN ka >= 2 AND ky >= 2 AND cost <= 0.15 THEN 'informative on both channels at an acceptable cost' WHEN ka < 2 AND ky < 2 THEN 'redundant on both channels'
-  WHEN ka < 2 THEN 'outcome only: precision, not confounding' WHEN ky < 2 THEN 'treatment only: like an instrument' ELSE 'informative but too costly' END AS reason FROM k""",
 }
 
 QUERIES = {f.__name__: f for f in (effects, against_trial, bootstrap_ci, paired_contrast, bh_fdr, bootstrap_intervals, paired_bootstrap, nation_fdr, balance, auc_rank, average_precision, spearman, arm_profile, funnel, segment_pivot,
-                                   decisions, block_cost, model_effects, information_gain, isotonic, planted_effect)}
+                                   block_cost, model_effects, information_gain, isotonic, planted_effect)}

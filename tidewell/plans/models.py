@@ -72,11 +72,11 @@ def within_arm_gain(spark: SparkSession, sf: str) -> DataFrame:
 
     Within arms the gain can't come from the arm itself.
     """
-    rows = units(spark, sf).where("d = 1").withColumn("fold", E.fold("id", 3)).na.fill({"lines": 0})
+    rows = units(spark, sf).where("d = 1").withColumn("fold", E.fold("id")).na.fill({"lines": 0})
     rows = cut(rows.withColumn("balance", F.col("balance") / 5000).withColumn("log_price", F.col("log_price") - 11).withColumn("lines", F.col("lines") / 4))
     parts = []
     for name, features in (("base", FEATURES[:2]), ("full", FEATURES)):
-        scored = rows.withColumn("p", F.round(E.predict(E.logistic(rows, features, "y", "fold", 3), features, "fold"), 6))
+        scored = rows.withColumn("p", F.round(E.predict(E.logistic(rows, features, "y", "fold", 5), features, "fold"), 6))
         for arm in (0, 1):
             own = R.auc(scored.where(F.col("a") == arm), "p", "y")
             parts.append(own.select(F.lit(name).alias("features"), F.lit(arm).alias("arm"), (F.col("n_pos") + F.col("n_neg")).alias("n"), "auroc"))
