@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewell.session import ship
 
-#: Parts of each size when items are ranked.
-SALTS = 32
+#: Items ranked in one task, about, even if all have one size, and parts of each size at least.
+PART, SALTS = 1_000_000, 32
 
 
 class Remaining:
@@ -91,7 +91,7 @@ def plan_bins(sizes: list[tuple[int, int]], capacity: int) -> list[tuple[int, in
     return plan
 
 
-def pack(items: DataFrame, capacities: DataFrame, key: str, size: str, salts: int = SALTS) -> DataFrame:
+def pack(items: DataFrame, capacities: DataFrame, key: str, size: str, salts: int | None = None) -> DataFrame:
     """(pack_name, key, piece, start, length, container) for each piece of each item and pack.
 
     `items` (key, size) with one row for each key, read twice: give it as a written table if it
@@ -104,6 +104,7 @@ def pack(items: DataFrame, capacities: DataFrame, key: str, size: str, salts: in
     ship(items.sparkSession)
     packs = capacities.select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity")).where("pack_name is not null and capacity > 0").distinct()
     rows = items.where(F.col(key).isNotNull() & (F.col(size) > 0)).select(F.col(key).alias("_key"), F.col(size).cast("long").alias("_size"))
+    salts = salts or max(SALTS, -(-rows.count() // PART))
     # The packs are a handful of names by nature; each item is written out once for each of them.
     choices = F.array(*[F.struct(F.lit(r.pack_name).alias("pack_name"), F.lit(r.capacity).alias("capacity")) for r in sorted(packs.collect())]).cast("array<struct<pack_name: string, capacity: bigint>>")
     each = rows.select("_key", "_size", F.inline(choices))
