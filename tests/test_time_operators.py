@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidewell.operators.asof import dyadic_cover, enclosing_nodes, valid_at
-from tidewell.operators.membership import may_contain
+from tidewell.operators.membership import bits_for, may_contain
 from tidewell.operators.rolling import daily_totals, trailing_totals
 from tidewell.operators.temporal import asof_backward, first_crossing, first_match, interval_join, last_values, lookback, near_join
 
@@ -33,6 +33,10 @@ def test_valid_at_against_brute_force(spark):
     assert valid_at(e.limit(0), a, "who", "at", F.col("f"), F.col("t"), 64).count() == 0
 
 
+def test_bits_follow_the_keys_up_to_a_bound():
+    assert [bits_for(n) for n in (0, 1, 1000, 1 << 20, (1 << 23) + 1)] == [10, 10, 15, 25, None]
+
+
 def test_membership_never_drops_a_member(spark):
     df, keys = spark.range(3000), spark.range(0, 3000, 7)
     for bits in (8, 20):

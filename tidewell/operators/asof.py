@@ -13,7 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewell.operators.membership import may_contain
+from tidewell.operators.membership import bits_for, may_contain
+from tidewell.session import cut
 
 
 def dyadic_cover(start_us: Column, end_us: Column, grain: int, levels: int) -> Column:
@@ -37,7 +38,7 @@ def enclosing_nodes(at_us: Column, grain: int, levels: int) -> Column:
 
 def valid_at(
     events: DataFrame, attributes: DataFrame, entity: str, at_us: str, valid_from: Column, valid_to: Column,
-    longest_us: int, grain: int = 36, salts: int = 4, salt_by: str | None = None, prefilter_bits: int = 25,
+    longest_us: int, grain: int = 36, salts: int = 4, salt_by: str | None = None, prefilter_bits: int | None = None,
 ) -> DataFrame:
     """Pairs of an event and an attribute row that is valid at its time: all columns of
     `attributes` and the event's `at_us`.
@@ -52,13 +53,16 @@ def valid_at(
     attributes = attributes.drop(at_us)
     levels = max(1, ((longest_us >> grain) + 1).bit_length())
     span = attributes.withColumn("_va_from", valid_from).withColumn("_va_to", valid_to).where("_va_from < _va_to").where(F.col(entity).isNotNull())
-    asks = events.where(F.col(entity).isNotNull() & F.col(at_us).isNotNull())
+    asks = cut(events.where(F.col(entity).isNotNull() & F.col(at_us).isNotNull()))
     # Rows of entities and times without any event needn't be shuffled. Time is cut into quarters of the longest
     # interval, so an event can only be met by intervals that begin in its quarter or the four before.
     quarter = max(1, longest_us // 4)
     begins = F.array(*[F.expr(f"{at_us} div {quarter}") - k for k in range(-(-longest_us // quarter) + 1)])
-    near = asks.select(F.col(entity), F.explode(begins).alias("_va_begin"))
-    span = may_contain(span, [F.col(entity), F.expr(f"_va_from div {quarter}")], near, prefilter_bits)
+    # The table has room for the events there are; beyond its largest size nothing is dropped here.
+    bits = prefilter_bits or bits_for(asks.count() * (-(-longest_us // quarter) + 1))
+    if bits:
+        near = asks.select(F.col(entity), F.explode(begins).alias("_va_begin"))
+        span = may_contain(span, [F.col(entity), F.expr(f"_va_from div {quarter}")], near, bits)
     part = F.pmod(F.xxhash64(salt_by), F.lit(salts)) if salt_by else F.pmod(F.xxhash64(*attributes.columns), F.lit(salts))
     nodes = span.withColumn("_va_part", part.cast("int")).withColumn("_va_node", F.explode(dyadic_cover(F.col("_va_from"), F.col("_va_to"), grain, levels)))
     asked = asks.select(F.col(entity), F.col(at_us), F.explode(enclosing_nodes(F.col(at_us), grain, levels)).alias("_va_node")).withColumn(

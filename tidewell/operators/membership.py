@@ -1,4 +1,4 @@
-"""A filter of fixed size in front of a join.
+"""A filter of bounded size in front of a join.
 
 `may_contain` keeps the rows whose key may occur among `keys` and drops most others
 before they are shuffled. The keys are hashed into a bit table of 2**bits bits, kept as
@@ -13,6 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def bits_for(keys: int, most: int = 25) -> int | None:
+    """Size of the bit table for so many keys: 32 bits and more for each, at most 2**most; None if the keys would fill that, so that it filters too little."""
+    return None if keys * 4 > 1 << most else max(10, min(most, (keys * 32).bit_length()))
+
+
 def may_contain(df: DataFrame, key: list[Column], keys: DataFrame, bits: int = 24) -> DataFrame:
     """The rows of `df` whose `key` may be among the rows of `keys` (same column types, in order).
 
