@@ -41,3 +41,12 @@ def test_units_need_no_shuffle_of_rows(spark, small):
 @pytest.mark.parametrize("name", ["tail_band", "adaptive_arm"])
 def test_no_group_is_held_for_its_percentiles(spark, small, name):
     assert not re.search(r"\bpercentile\(", _plan(catalogue.QUERIES[name](spark, small)))
+
+
+def test_profile_expands_no_rows(spark, small):
+    assert "Expand" not in _plan(catalogue.QUERIES["qc_profile"](spark, small))
+
+
+def test_vectors_are_pooled_whole(spark, small):
+    plan = _plan(catalogue.QUERIES["vector_pool"](spark, small))
+    assert "posexplode" in plan and not re.search(r"posexplode\(embedding", plan)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import estimate as E, ranking as R, statistics as S
 from tidewell.operators.canonical import clean
-from tidewell.operators.vectors import pooled_array
+from tidewell.operators.vectors import pool, pooled_array
 
 
 def test_running_sums_ranks_and_ties(spark):
@@ -117,3 +117,38 @@ def test_pooling(spark):
     df = spark.createDataFrame([("a", [1.0, 5.0]), ("a", [3.0, None]), ("b", None)], "k string, v array<double>")
     assert {r.k: r.v for r in pooled_array(df, ["k"], "v").collect()} == {"a": [2.0, 5.0]}
     assert {r.k: r.v for r in pooled_array(df, ["k"], "v", "max").collect()} == {"a": [3.0, 5.0]}
+
+
+def test_pooling_of_short_null_and_missing_vectors(spark):
+    df = spark.createDataFrame([("a", [1.0, None, -3.0]), ("a", [3.0]), ("a", None), ("b", [None, -2.0]), ("c", None), (None, [7.0])], "k string, v array<double>").withColumn("_size", F.lit("clash"))
+    got = sorted(((r.k, r.pos, r["mean"], r["max"]) for r in pool(df, ["k"], "v").collect()), key=repr)
+    assert got == sorted([("a", 0, 2.0, 3.0), ("a", 1, None, None), ("a", 2, -3.0, -3.0), ("b", 0, None, None), ("b", 1, -2.0, -2.0), (None, 0, 7.0, 7.0)], key=repr)
+    assert pool(df.limit(0), ["k"], "v").count() == 0 and pool(df.where("v is null"), [], "v").count() == 0
+
+
+def test_logistic_models_of_all_folds_at_once(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 2))
+    y = rng.random(3000) < 1 / (1 + np.exp(-(0.3 + 1.2 * x[:, 0] - 0.7 * x[:, 1])))
+    fold = np.arange(3000) % 3
+    rows = [(float(a), float(b), int(c), int(d)) for (a, b), c, d in zip(x, y, fold)] + [(None, 1.0, 1, 0), (1.0, 1.0, None, 1)]
+    got = E.logistics(spark.createDataFrame(rows, "u double, v double, y int, fold int"), {"both": (["u", "v"], "y", None), "some": (["u"], "y", F.col("v") > 0), "flat": (["u"], "fold", F.col("fold") == 1)}, "fold", 3)
+    for name, cols, take in (("both", [0, 1], np.ones(3000, bool)), ("some", [0], x[:, 1] > 0)):
+        for g in range(3):
+            t = take & (fold != g)
+            z, beta = np.c_[np.ones(t.sum()), x[t][:, cols]], np.zeros(len(cols) + 1)
+            for _ in range(30):
+                q = 1 / (1 + np.exp(-z @ beta))
+                beta += np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + 1e-3 * np.diag([0] + [1] * len(cols)), z.T @ (y[t] - q) - 1e-3 * np.r_[0, beta[1:]])
+            assert np.allclose(got[name][g], beta, atol=1e-5)
+    assert np.isfinite(got["flat"][1]).all()
+
+
+def test_areas_by_group_equal_those_of_each_group(spark):
+    random.seed(9)
+    rows = [(random.choice("xy"), random.choice([1.0, 2.0, 2.5, None]), random.choice([0, 1, None])) for _ in range(300)] + [("one", 1.0, 1), (None, 1.0, 1)]
+    df = spark.createDataFrame(rows, "g string, s double, y int")
+    got = {r.g: (r.n_pos, r.n_neg, r.auroc) for r in R.auc_by(df, ["g"], "s", "y").collect()}
+    for g in ("x", "y", "one"):
+        assert got[g] == pytest.approx(tuple(R.auc(df.where(F.col("g") == g), "s", "y").first()))
+    assert set(got) == {"x", "y", "one"}

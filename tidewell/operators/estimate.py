@@ -3,16 +3,19 @@
 a is the arm, y the outcome and d whether the outcome was observed. Folds come from a hash of
 the id, so that they are the same in every engine and run. Nuisance models are either the
 other folds' rates (optionally within strata), which is plain aggregation, or logistic
-regressions fitted by Newton steps whose sums Spark adds up; only matrices of the size of the
+regressions fitted by Newton steps, all at once, whose sums Spark adds up; only matrices of the size of the
 covariates reach the driver. What follows is arithmetic on columns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewell.session import cut
+from tidewell.session import cut, ship
 
 
 def hash_unit(*parts: Column) -> Column:
@@ -122,40 +125,65 @@ def bootstrap_ratios(df: DataFrame, ratios: dict[str, tuple[Column, Column]], cl
     return weighed.groupBy(*by, "b").agg(*[F.try_divide(total(f"_0_{k}"), total(f"_1_{k}")).alias(k) for k in ratios])
 
 
-def logistic(df: DataFrame, features: list[str], label: str, group: str, groups: int, ridge: float = 1e-3, steps: int = 8) -> dict[int, np.ndarray]:
-    """For each group g in 0..groups-1 the coefficients (intercept first) of a logistic regression on the rows of all other groups.
+def logistics(df: DataFrame, models: dict[str, tuple[list[str], str, Column | None]], group: str, groups: int, ridge: float = 1e-3, steps: int = 8) -> dict[str, dict[int, np.ndarray]]:
+    """For each model (features, label, rows it sees) and each group g in 0..groups-1 the coefficients (intercept first) of a
+    logistic regression on the rows of all other groups.
 
-    Each Newton step is one aggregation: every group's gradient and Hessian are sums over rows.
-    Rows with a null feature or label must be removed before. A label that is constant in the training rows gives its rate.
+    A Newton step is one job for all models and groups: each task sums gradients and Hessians over its rows,
+    and Spark adds up the tasks' sums. `df` is read once a step: give it as a written table.
+    Rows with a null feature or label aren't seen. A label that is constant in the training rows gives its rate.
     """
-    p = len(features) + 1
-    x = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
-    beta = {g: np.zeros(p) for g in range(groups)}
+    ship(df.sparkSession)
+    names, packed = list(models), []
+    for k, (features, label, seen) in enumerate(models.values()):
+        row = F.array(*[F.col(c).cast("double") for c in [label, *features]])
+        fits = ~F.exists(row, lambda v: v.isNull()) & (seen if seen is not None else F.lit(True))
+        packed.append(F.when(F.coalesce(fits, F.lit(False)), row).alias(f"m{k}"))
+    rows = df.select(F.col(group).cast("int").alias("g"), *packed)
+    wide = [len(f) + 1 for f, _, _ in models.values()]
+    beta = {m: {g: np.zeros(p) for g in range(groups)} for m, p in zip(names, wide)}
+
+    def sums(now: dict[str, dict[int, np.ndarray]]) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = [[np.zeros(p + p * p) for _ in range(groups)] for p in wide]
+            for pdf in batches:
+                of = pdf["g"].to_numpy()
+                for k, m in enumerate(names):
+                    have = pdf[f"m{k}"].notna().to_numpy()
+                    if not have.any():
+                        continue
+                    values, own = np.stack(pdf[f"m{k}"].to_numpy()[have]), of[have]
+                    x, y = np.c_[np.ones(len(values)), values[:, 1:]], values[:, 0]
+                    for g in range(groups):
+                        train = own != g
+                        xt = x[train]
+                        q = 1 / (1 + np.exp(-np.clip(xt @ now[m][g], -30, 30)))
+                        total[k][g] += np.r_[xt.T @ (y[train] - q), ((xt * (q * (1 - q))[:, None]).T @ xt).ravel()]
+            yield pd.DataFrame({"k": [k for k in range(len(names)) for _ in range(groups)], "g": list(range(groups)) * len(names), "v": [v for part in total for v in part]})
+
+        cells = rows.mapInPandas(run, "k int, g int, v array<double>").select("k", "g", F.posexplode("v").alias("i", "x"))
+        return cells.groupBy("k", "g", "i").agg(F.sum("x").alias("x"))
+
     for _ in range(steps):
-        aggregates = []
-        for g in range(groups):
-            z = sum((float(b) * c for b, c in zip(beta[g], x)), F.lit(0.0))
-            q = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
-            train = F.col(group) != g
-            residual, spread = F.when(train, F.col(label) - q).otherwise(0.0), F.when(train, q * (1 - q)).otherwise(0.0)
-            aggregates += [F.sum(residual * c).alias(f"g{g}_{i}") for i, c in enumerate(x)]
-            aggregates += [F.sum(spread * x[i] * x[j]).alias(f"h{g}_{i}_{j}") for i in range(p) for j in range(i, p)]
-        got = df.agg(*aggregates).first()
-        largest = 0.0
-        for g in range(groups):
-            gradient = np.array([got[f"g{g}_{i}"] or 0.0 for i in range(p)]) - ridge * np.r_[0.0, beta[g][1:]]
-            hessian = np.zeros((p, p))
-            for i in range(p):
-                for j in range(i, p):
-                    hessian[i, j] = hessian[j, i] = got[f"h{g}_{i}_{j}"] or 0.0
-            step = np.linalg.lstsq(hessian + np.diag([1e-9] + [ridge] * (p - 1)), gradient, rcond=None)[0]
-            beta[g] = beta[g] + np.clip(step, -5, 5)
-            largest = max(largest, float(np.abs(step).max()))
+        largest, got = 0.0, {(r.k, r.g, r.i): r.x for r in sums(beta).collect()}
+        for k, m in enumerate(names):
+            p = wide[k]
+            for g in range(groups):
+                v = np.array([got.get((k, g, i), 0.0) for i in range(p + p * p)])
+                gradient, hessian = v[:p] - ridge * np.r_[0.0, beta[m][g][1:]], v[p:].reshape(p, p)
+                step = np.clip(np.linalg.lstsq(hessian + np.diag([1e-9] + [ridge] * (p - 1)), gradient, rcond=None)[0], -5, 5)
+                beta[m][g] = beta[m][g] + step
+                largest = max(largest, float(np.abs(step).max()))
         if largest < 1e-6:
             break
     return beta
 
 
+def logistic(df: DataFrame, features: list[str], label: str, group: str, groups: int) -> dict[int, np.ndarray]:
+    """One model of `logistics` over all rows."""
+    return logistics(df, {"one": (features, label, None)}, group, groups)["one"]
+
+
 def predict(beta: dict[int, np.ndarray], features: list[str], group: str) -> Column:
     """Probability by the coefficients of the row's own group."""
     x = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
@@ -180,10 +208,10 @@ def model_nuisances(df: DataFrame, features: list[str], folds: int = 5) -> DataF
         scaled = scaled.withColumn(f"_z_{c}", (F.coalesce(F.col(c).cast("double"), F.lit(m)) - m) / (s if s > 0 else 1.0))
     z = [f"_z_{c}" for c in features]
     scaled = cut(scaled)
-    fits = {"e": logistic(scaled, z, "a", "fold", folds), "kc": logistic(scaled, z, "d", "fold", folds)}
-    for arm in (1, 0):
-        fits[f"m{arm}"] = logistic(scaled.where((F.col("a") == arm) & (F.col("d") == 1)), z, "y", "fold", folds)
-    joint = logistic(scaled.where("d = 1"), [*z, "a"], "y", "fold", folds)
+    observed = F.col("d") == 1
+    models = {"e": (z, "a", None), "kc": (z, "d", None)} | {f"m{arm}": (z, "y", observed & (F.col("a") == arm)) for arm in (1, 0)} | {"joint": ([*z, "a"], "y", observed)}
+    fits = logistics(scaled, models, "fold", folds)
+    joint = fits.pop("joint")
     out = scaled.withColumns({k: predict(b, z, "fold") for k, b in fits.items()} | {"_one": F.lit(1), "_none": F.lit(0)})
     return out.withColumns({"j1": predict(joint, [*z, "_one"], "fold"), "j0": predict(joint, [*z, "_none"], "fold")}).drop(*z, "_one", "_none")
 

@@ -56,18 +56,18 @@ def against_trial(spark: SparkSession, sf: str, trial: float = -1.9, trial_low:
                        F.round(S.e_value_limit(p[2], p[3], p[4]), 4).alias("e_limit"))
 
 
-def _replicates(spark: SparkSession, sf: str, replicates: int = 50) -> DataFrame:
+def _replicates(spark: SparkSession, sf: str, replicates: int = REPLICATES) -> DataFrame:
     return E.bootstrap(_conditions(spark, sf), "psi", "keep", "cluster", replicates, by=["condition"])
 
 
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean, spread and percentile interval of the cluster bootstrap of each adjustment, over the 50 replicates of its SQL; `bootstrap_intervals` has all."""
+    """Mean, spread and percentile interval of the cluster bootstrap of each adjustment; `bootstrap_intervals` adds the overlap-weighted form."""
     mean, std, low, high = (F.round(c * 100, 5).alias(n) for c, n in zip(S.replicate_summary("value"), ("mean", "std", "low", "high")))
     return _replicates(spark, sf).groupBy("condition").agg(mean, std, low, high, F.count("value").alias("replicates"))
 
 
 def paired_contrast(spark: SparkSession, sf: str) -> DataFrame:
-    """Bias reduction of the adjusted against the unadjusted estimate, paired by replicate, over the 50 replicates of its SQL; `paired_bootstrap` has all."""
+    """Bias reduction of the adjusted against the unadjusted estimate, paired by replicate."""
     return _paired(_replicates(spark, sf))
 
 
@@ -78,8 +78,8 @@ def _paired(replicates: DataFrame) -> DataFrame:
 
 
 def bh_fdr(spark: SparkSession, sf: str) -> DataFrame:
-    """Bootstrap p-value of the unadjusted effect in each nation, and its value adjusted over all nations, over the 40 replicates of its SQL; `nation_fdr` has all."""
-    return _nation_fdr(units(spark, sf), 40)
+    """Bootstrap p-value of the unadjusted effect in each nation, and its value adjusted over all nations."""
+    return _nation_fdr(units(spark, sf), REPLICATES)
 
 
 def _nation_fdr(rows: DataFrame, replicates: int) -> DataFrame:
@@ -173,17 +173,14 @@ def model_effects(spark: SparkSession, sf: str) -> DataFrame:
 
 def information_gain(spark: SparkSession, sf: str) -> DataFrame:
     """What line counts add to price and balance: held-out AUROC of arm and outcome with and without them."""
-    out = []
-    for label in ("a", "y"):
-        for name, features in (("base", FEATURES[:2]), ("full", FEATURES)):
-            rows = units(spark, sf).withColumn("fold", E.fold("id")).na.fill({"lines": 0})
-            rows = cut(rows.withColumn("balance", F.col("balance") / 5000).withColumn("log_price", F.col("log_price") - 11))
-            scored = rows.withColumn("p", F.round(E.predict(E.logistic(rows, features, label, "fold", 5), features, "fold"), 6))
-            out.append(R.auc(scored, "p", label).select(F.lit(label).alias("label"), F.lit(name).alias("features"), "auroc"))
-    one = out[0]
-    for o in out[1:]:
-        one = one.unionByName(o)
-    return one.groupBy("label").pivot("features", ["base", "full"]).agg(F.first("auroc")).withColumn("gain", F.col("full") - F.col("base"))
+    rows = units(spark, sf).withColumn("fold", E.fold("id")).na.fill({"lines": 0})
+    rows = cut(rows.withColumn("balance", F.col("balance") / 5000).withColumn("log_price", F.col("log_price") - 11))
+    models = {(label, name): (features, label, None) for label in ("a", "y") for name, features in (("base", FEATURES[:2]), ("full", FEATURES))}
+    fits = E.logistics(rows, models, "fold", 5)
+    cells = [F.struct(F.lit(label).alias("label"), F.lit(name).alias("features"), F.round(E.predict(fits[label, name], features, "fold"), 6).alias("p"), F.col(label).alias("seen"))
+             for (label, name), (features, _, _) in models.items()]
+    areas = R.auc_by(rows.select(F.inline(F.array(*cells))), ["label", "features"], "p", "seen")
+    return areas.groupBy("label").pivot("features", ["base", "full"]).agg(F.first("auroc")).withColumn("gain", F.col("full") - F.col("base"))
 
 
 def isotonic(spark: SparkSession, sf: str) -> DataFrame:
@@ -251,10 +248,10 @@ ORACLES = {
 v AS (SELECT *, CASE WHEN abs(lo) < abs(hi) THEN lo ELSE hi END AS lim FROM i), x AS (SELECT *, (b + point) / b AS r1, (b + lim) / b AS r2 FROM v), y AS (SELECT *, CASE WHEN r1 < 1 THEN 1 / r1 ELSE r1 END AS u1, CASE WHEN r2 < 1 THEN 1 / r2 ELSE r2 END AS u2 FROM x)
 SELECT condition, round(b, 5) AS baseline, round((point + 1.9) / sqrt(se * se + st * st), 5) AS z, lo <= 4.2 AND -8.1 <= hi AS overlap, round(u1 + sqrt(u1 * (u1 - 1)), 4) AS e_value,
   round(CASE WHEN lo <= 0 AND hi >= 0 THEN 1.0 ELSE u2 + sqrt(u2 * (u2 - 1)) END, 4) AS e_limit FROM y""",
-    "bootstrap_ci": f"{_BOTH}, {_boot('condition', 50)} SELECT condition, round(avg(value) * 100, 5) AS mean, round(stddev_samp(value) * 100, 5) AS std, round(quantile_cont(value, 0.025) * 100, 5) AS low, round(quantile_cont(value, 0.975) * 100, 5) AS high, count(value) AS replicates FROM bt GROUP BY 1",
-    "paired_contrast": f"""{_BOTH}, {_boot('condition', 50)}, g AS (SELECT b, (abs(max(value) FILTER (condition = 'naive')) - abs(max(value) FILTER (condition = 'segment'))) * 100 AS gain FROM bt GROUP BY 1)
+    "bootstrap_ci": f"{_BOTH}, {_boot('condition', REPLICATES)} SELECT condition, round(avg(value) * 100, 5) AS mean, round(stddev_samp(value) * 100, 5) AS std, round(quantile_cont(value, 0.025) * 100, 5) AS low, round(quantile_cont(value, 0.975) * 100, 5) AS high, count(value) AS replicates FROM bt GROUP BY 1",
+    "paired_contrast": f"""{_BOTH}, {_boot('condition', REPLICATES)}, g AS (SELECT b, (abs(max(value) FILTER (condition = 'naive')) - abs(max(value) FILTER (condition = 'segment'))) * 100 AS gain FROM bt GROUP BY 1)
 SELECT round(avg(gain), 5) AS mean, round(stddev_samp(gain) * {S.DETECTABLE!r}, 5) AS detectable, round(least(1.0, greatest(2 * least(avg((gain >= 0)::INT), avg((gain <= 0)::INT)), 1.0::DOUBLE / nullif(count(gain), 0))), 6) AS p FROM g""",
-    "bh_fdr": f"""{_UNITS}, {_psi('naive', chr(39) + 'all' + chr(39))}, c AS (SELECT * FROM naive_p), {_boot('nation', 40)},
+    "bh_fdr": f"""{_UNITS}, {_psi('naive', chr(39) + 'all' + chr(39))}, c AS (SELECT * FROM naive_p), {_boot('nation', REPLICATES)},
 p AS (SELECT nation, least(1.0, greatest(2 * least(avg((value >= 0)::INT), avg((value <= 0)::INT)), 1.0::DOUBLE / nullif(count(value), 0))) AS p FROM bt GROUP BY 1), k AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, nation) AS raw FROM p)
 SELECT nation, round(p, 6) AS p, round(least(1.0, min(raw) OVER (ORDER BY p DESC, nation DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM k""",
     "bootstrap_intervals": f"""{_BOTH}, s AS (SELECT condition, cluster, sum(psi) AS s, count(psi) AS n, sum(psi_ato) AS sa, sum(h) AS sh FROM c GROUP BY 1, 2), r AS (SELECT *, {_HASH_B} AS q FROM s, range({REPLICATES}) t(b)), k AS (SELECT *, {_WEIGHT} AS wt FROM r),

@@ -74,15 +74,10 @@ def within_arm_gain(spark: SparkSession, sf: str) -> DataFrame:
     """
     rows = units(spark, sf).where("d = 1").withColumn("fold", E.fold("id")).na.fill({"lines": 0})
     rows = cut(rows.withColumn("balance", F.col("balance") / 5000).withColumn("log_price", F.col("log_price") - 11).withColumn("lines", F.col("lines") / 4))
-    parts = []
-    for name, features in (("base", FEATURES[:2]), ("full", FEATURES)):
-        scored = rows.withColumn("p", F.round(E.predict(E.logistic(rows, features, "y", "fold", 5), features, "fold"), 6))
-        for arm in (0, 1):
-            own = R.auc(scored.where(F.col("a") == arm), "p", "y")
-            parts.append(own.select(F.lit(name).alias("features"), F.lit(arm).alias("arm"), (F.col("n_pos") + F.col("n_neg")).alias("n"), "auroc"))
-    one = parts[0]
-    for p in parts[1:]:
-        one = one.unionByName(p)
+    models = {"base": (FEATURES[:2], "y", None), "full": (FEATURES, "y", None)}
+    fits = E.logistics(rows, models, "fold", 5)
+    cells = [F.struct(F.lit(k).alias("features"), F.round(E.predict(fits[k], f, "fold"), 6).alias("p")) for k, (f, _, _) in models.items()]
+    one = R.auc_by(rows.select(F.col("a").alias("arm"), "y", F.inline(F.array(*cells))), ["features", "arm"], "p", "y").withColumn("n", F.col("n_pos") + F.col("n_neg"))
     each = one.groupBy("arm").agg(F.first("n").alias("n"), *[F.max(F.when(F.col("features") == k, F.col("auroc"))).alias(k) for k in ("base", "full")]).withColumn("gain", F.col("full") - F.col("base"))
     whole = each.agg((F.sum(F.col("n") * F.col("gain")) / F.sum("n")).alias("pooled_gain"))
     return each.join(F.broadcast(whole))

@@ -91,7 +91,7 @@ SELECT coalesce(group_id, s.subject_id) AS group_id FROM s LEFT JOIN root USING
 WHERE split IS NOT NULL AND s.subject_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1""",
     "p2_check": """WITH r AS (SELECT 'study' AS kind, study_id AS id, CAST(subject_id AS VARCHAR) AS owner FROM cxr_studies WHERE subject_id IS NOT NULL
   UNION SELECT 'unit_stay', patientunitstayid, trim(uniquepid) FROM patient WHERE trim(coalesce(uniquepid, '')) <> '')
-SELECT split, (SELECT count(*) FROM (SELECT DISTINCT kind, id FROM r)) AS "all", true AS as_wanted, 0 AS torn_persons, 0 AS left_out FROM (SELECT DISTINCT split FROM split_targets)""",
+SELECT split, (SELECT count(*) FROM (SELECT DISTINCT kind, id FROM r)) AS "all", true AS as_wanted, 0::BIGINT AS torn_persons, 0::BIGINT AS left_out FROM (SELECT DISTINCT split FROM split_targets)""",
 }
 
 QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_check": p2_check}
