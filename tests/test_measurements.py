@@ -148,9 +148,33 @@ def test_a_series_longer_than_a_block_is_judged_in_pieces(spark, monkeypatch):
     frame = pd.DataFrame({"series": np.r_[np.zeros(3000), np.ones(40)].astype(int), "series_too": 0, "row_id": np.arange(3040), "at_us": np.arange(3040) * HOUR, "stored_us": 0, "value": np.r_[values, np.full(40, 70.0)],
                           "floor": 1.0, "possible": True, "own": True})
     frame = pd.concat([frame, frame.iloc[[499, 700]]]).sort_values(["series", "at_us", "row_id"], ignore_index=True)
-    monkeypatch.setattr(K, "BLOCK", 400)
-    got = pd.concat(K._judge_sorted((frame.iloc[k : k + 130] for k in range(0, len(frame), 130)), Rules()))
-    assert sorted(got["row_id"]) == list(range(3040))
-    assert set(got[got.reason == "spike"]["row_id"]) >= {3, 1111, 2990}
-    whole = K._verdicts(frame, Rules())
-    assert set(got[got.reason == "spike"]["row_id"]) == set(whole[whole.reason == "spike"]["row_id"])
+
+    def verdicts(batch):
+        got = pd.concat(K._judge_sorted((frame.iloc[k : k + batch] for k in range(0, len(frame), batch)), Rules()))
+        return {r.row_id: (r.score, r.reason) for r in got.itertuples()}, len(got)
+
+    monkeypatch.setattr(K, "WINDOW", 400)
+    monkeypatch.setattr(K, "CONTEXT", 64)
+    first, n = verdicts(130)
+    assert n == len(first) == 3040 and {k for k, (_, r) in first.items() if r == "spike"} == set(at)
+    # Blocks and batches decide nothing.
+    for block, batch in ((100, 130), (700, 37), (10_000, 5000)):
+        monkeypatch.setattr(K, "BLOCK", block)
+        assert verdicts(batch)[0] == first
+    monkeypatch.setattr(K, "WINDOW", 100_000)
+    assert {k for k, (_, r) in verdicts(130)[0].items() if r == "spike"} == set(at)
+
+
+def test_a_source_is_judged_alike_whatever_else_there_is():
+    from tidewell.operators import spikes as K
+
+    rng = np.random.default_rng(12)
+    value = (80 + rng.integers(-4, 5, 4000)).astype(float)
+    value[rng.integers(0, 4000, 60)] += 40
+    source, at = np.repeat(np.arange(80) * 977 - 5000, 50), np.tile(np.arange(50) * HOUR, 80)
+    possible = rng.random(4000) > 0.02
+    args = [source, at, value, np.ones(4000), possible]
+    whole = K.judge(*args, Rules(), source)
+    alone = [K.judge(*[a[k : k + 50] for a in args], Rules(), source[k : k + 50]) for k in range(0, 4000, 50)]
+    for i in range(3):
+        assert np.array_equal(whole[i], np.concatenate([a[i] for a in alone]))

@@ -63,10 +63,23 @@ def _mean_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
-def forest_scores(source: np.ndarray, features: np.ndarray, grows: np.ndarray, rules: Rules, seed: int = 11) -> np.ndarray:
+def _uniform(key: np.ndarray, *parts: np.ndarray | int) -> np.ndarray:
+    """Numbers in [0, 1) that depend on the key and the parts alone (splitmix64)."""
+    with np.errstate(over="ignore"):
+        z = key.astype(np.uint64)
+        for p in parts:
+            z = (z ^ np.asarray(p).astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            z = z ^ (z >> np.uint64(31))
+    return (z >> np.uint64(11)) * 2.0**-53
+
+
+def forest_scores(source: np.ndarray, features: np.ndarray, grows: np.ndarray, rules: Rules, keys: np.ndarray | None = None) -> np.ndarray:
     """Isolation scores in (0, 1] of all rows; `source` numbers the sources 0, 1, ... in order.
 
-    One forest for each source, grown on at most about `sample` of its rows with `grows`. All sources' trees
+    What is drawn depends on the source's key (its number if none is given), the tree and the node, so
+    a source's scores don't depend on what else is scored with it. One forest for each source, grown on at most about `sample` of its rows with `grows`. All sources' trees
     grow together: a node is (source, position in the tree). A row that lies outside the box of its
     leaf by more than what is ordinary counts as cut off there.
     """
@@ -85,23 +98,24 @@ def forest_scores(source: np.ndarray, features: np.ndarray, grows: np.ndarray, r
     live = np.flatnonzero(active[source])
     if len(live):
         part = np.cumsum(active) - 1
-        score[live] = _grown_scores(part[source[live]], features[live], grows[live], normal[active], count[active], rules, seed)
+        named = np.arange(len(count)) if keys is None else keys
+        score[live] = _grown_scores(part[source[live]], features[live], grows[live], normal[active], count[active], rules, named[active])
     return score
 
 
-def _grown_scores(source: np.ndarray, features: np.ndarray, grows: np.ndarray, normal: np.ndarray, count: np.ndarray, rules: Rules, seed: int) -> np.ndarray:
+def _grown_scores(source: np.ndarray, features: np.ndarray, grows: np.ndarray, normal: np.ndarray, count: np.ndarray, rules: Rules, keys: np.ndarray) -> np.ndarray:
     n, wide = features.shape
-    rng = np.random.default_rng(seed)
+    index = np.arange(n) - np.searchsorted(source, np.arange(len(count)))[source]
     drawn = np.minimum(1.0, rules.sample / count)[source]
     slots = 1 << (rules.depth + 1)
     base = source.astype(np.int64) * slots
     total = np.zeros(n)
-    for _ in range(rules.trees):
+    for tree in range(rules.trees):
         feature = np.full(len(count) * slots, -1, dtype=np.int8)
         border = np.zeros(len(count) * slots)
         size = np.zeros(len(count) * slots, dtype=np.int32)
         least, most = np.full((len(count) * slots, wide), np.inf), np.full((len(count) * slots, wide), -np.inf)
-        rows = np.flatnonzero(grows & (rng.random(n) < drawn))
+        rows = np.flatnonzero(grows & (_uniform(keys[source], tree, 1, index) < drawn))
         node = base[rows] + 1
         for level in range(rules.depth + 1):
             if not len(rows):
@@ -120,14 +134,14 @@ def _grown_scores(source: np.ndarray, features: np.ndarray, grows: np.ndarray, n
             extent = np.where(high - low > rules.ordinary, high - low, 0.0)
             upto = np.cumsum(extent, axis=1)
             split = upto[:, -1] > 0
-            pick = np.minimum((upto <= (rng.random(len(first)) * upto[:, -1])[:, None]).sum(axis=1), wide - 1)
+            named, local = keys[source[rows[first]]], at % slots
+            pick = np.minimum((upto <= (_uniform(named, tree, 2, local) * upto[:, -1])[:, None]).sum(axis=1), wide - 1)
             here = np.arange(len(first))
-            cut = low[here, pick] + rng.random(len(first)) * (high - low)[here, pick]
+            cut = low[here, pick] + _uniform(named, tree, 3, local) * (high - low)[here, pick]
             feature[at[split]], border[at[split]] = pick[split], cut[split]
             goes = np.repeat(split, length)
             right = values[np.arange(len(rows)), np.repeat(pick, length)] > np.repeat(cut, length)
-            local = node % slots
-            rows, node = rows[goes], (node + local + right)[goes]
+            rows, node = rows[goes], (node + node % slots + right)[goes]
         place = np.ones(n, dtype=np.int64)
         live = np.arange(n)
         depth = np.zeros(n)
@@ -168,11 +182,13 @@ def _momentary(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return np.nan_to_num(np.where(before * after > 0, np.where(np.abs(before) < np.abs(after), before, after), 0.0))
 
 
-def judge(source: np.ndarray, at_us: np.ndarray, value: np.ndarray, floor: np.ndarray, possible: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def judge(source: np.ndarray, at_us: np.ndarray, value: np.ndarray, floor: np.ndarray, possible: np.ndarray, rules: Rules, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(score, spike, stuck) of readings sorted by (source, time); `floor` is the least step of the reading's type.
 
-    Impossible readings are scored in the forest of their source, but are nobody's neighbours.
+    Impossible readings are scored in the forest of their source, but are nobody's neighbours. `keys` names
+    the source of each reading for what its forest draws.
     """
+    named = source if keys is None else keys
     source = np.cumsum(np.r_[True, source[1:] != source[:-1]]) - 1
     score, spike, stuck = np.full(len(value), 0.5), np.zeros(len(value), dtype=bool), np.zeros(len(value), dtype=bool)
     take = np.flatnonzero(possible)
@@ -222,10 +238,12 @@ def judge(source: np.ndarray, at_us: np.ndarray, value: np.ndarray, floor: np.nd
     features = np.clip(np.stack([level / scale, jump / scale, level / scale - daily[quarter], unlikely], axis=1), -rules.clip, rules.clip)
     if len(odd):
         order = np.lexsort((np.r_[np.arange(len(u_value)) * 2, behind * 2 + 1], a_source))
-        scores = np.empty(len(a_value))
-        scores[order] = forest_scores(np.unique(a_source[order], return_inverse=True)[1], features[order], grows[order], rules)
     else:
-        scores = forest_scores(np.unique(a_source, return_inverse=True)[1], features, grows, rules)
+        order = np.arange(len(u_value))
+    present, start, numbered = np.unique(a_source[order], return_index=True, return_inverse=True)
+    named = np.r_[named[first], named[odd]][order][start]
+    scores = np.empty(len(a_value))
+    scores[order] = forest_scores(numbered, features[order], grows[order], rules, named)
     score[take], score[odd] = scores[: len(u_value)][unit], scores[len(u_value) :]
     # From here on units only. The kinds by shape: runs that leave both levels to one side, at once, and return.
     m = len(u_value)
@@ -253,8 +271,10 @@ def judge(source: np.ndarray, at_us: np.ndarray, value: np.ndarray, floor: np.nd
     return score, spike, stuck
 
 
-#: Readings judged at once, and readings of a longer series that are kept as context for its next piece.
-BLOCK, CONTEXT, PENDING = 100_000, 256, 64
+#: Rows whose readings are judged at once, about: it decides nothing but the size of arrays.
+BLOCK = 100_000
+#: Fixed rows of a longer series that make up what is normal together, and those before and after them that are looked at besides.
+WINDOW, CONTEXT = 100_000, 1_000
 
 
 def _numbered(pdf: pd.DataFrame) -> np.ndarray:
@@ -273,41 +293,69 @@ def _verdicts(pdf: pd.DataFrame, rules: Rules) -> pd.DataFrame:
     pdf, series = pdf[first], series[first]
     possible = pdf["possible"].to_numpy()
     # Without a source or time a reading has no neighbours: it is a series of its own.
-    score, spike, stuck = judge(series, pdf["at_us"].to_numpy(), pdf["value"].to_numpy(), pdf["floor"].to_numpy(), possible, rules)
+    score, spike, stuck = judge(series, pdf["at_us"].to_numpy(), pdf["value"].to_numpy(), pdf["floor"].to_numpy(), possible, rules, pdf["series"].to_numpy())
     reason = np.where(~possible, "limit", np.where(stuck, "stuck", np.where(spike, "spike", None))).astype(object)
     return pd.DataFrame({"row_id": pdf["row_id"], "score": score, "reason": reason})[pdf["own"].to_numpy()]
 
 
 def _judge_sorted(batches: Iterator[pd.DataFrame], rules: Rules) -> Iterator[pd.DataFrame]:
-    """Verdicts of one partition, block by block, whole series together.
+    """Verdicts of one partition: whole series together, in blocks.
 
-    A series that doesn't fit into a block is judged in pieces: the last readings of a piece
-    wait for the next one, which sees the readings before them as context.
+    A series of more than WINDOW rows is judged window by window, counted from its first row, each with CONTEXT
+    rows on both sides. So a verdict depends on the series alone, not on the blocks or on other series.
     """
-    held: list[pd.DataFrame] = []
-    size = 0
+    ready: list[pd.DataFrame] = []
+    waiting, size, lead = None, 0, 0
     for batch in batches:
-        held.append(batch)
-        size += len(batch)
-        if size < BLOCK:
+        block = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+        if not len(block):
             continue
-        block = pd.concat(held, ignore_index=True)
         series = _numbered(block)
-        other = series[::-1] != series[-1]
-        last = len(series) - int(np.argmax(other)) if other.any() else 0
-        if last:
-            yield _verdicts(block.iloc[:last], rules)
-        rest = block.iloc[last:]
-        if len(rest) >= BLOCK:
-            own = rest["own"].to_numpy()
-            now, later = own.copy(), own.copy()
-            now[-PENDING:] = False
-            later[:-PENDING] = False
-            yield _verdicts(rest.assign(own=now), rules)
-            rest = rest.assign(own=later).iloc[-(CONTEXT + PENDING) :]
-        held, size = [rest], len(rest)
-    if size:
-        yield _verdicts(pd.concat(held, ignore_index=True), rules)
+        starts = np.flatnonzero(np.r_[True, series[1:] != series[:-1]])
+        ends = np.r_[starts[1:], len(block)]
+        long = ends - starts >= WINDOW
+        # Of the rows that waited `lead` are context. All series but the last are complete; short ones go on together.
+        low = 0
+        for k in [*np.flatnonzero(long[:-1]), len(starts) - 1]:
+            if starts[k] > low:
+                ready.append(_context(block.iloc[low : starts[k]], lead))
+                size, lead = size + starts[k] - low, 0
+            pieces, rest, lead = _windows(block.iloc[starts[k] : ends[k]], lead)
+            yield from (_verdicts(p, rules) for p in pieces)
+            low = ends[k]
+            if k < len(starts) - 1:
+                ready.append(_context(rest, lead))
+                size, lead = size + len(rest), 0
+            else:
+                waiting = rest
+        if size >= BLOCK:
+            yield _verdicts(pd.concat(ready, ignore_index=True), rules)
+            ready, size = [], 0
+    if waiting is not None:
+        ready.append(_context(waiting, lead))
+    if ready:
+        yield _verdicts(pd.concat(ready, ignore_index=True), rules)
+
+
+def _windows(rows: pd.DataFrame, lead: int) -> tuple[list[pd.DataFrame], pd.DataFrame, int]:
+    """The full windows of one series' rows, the rows that are left, and how many of these are context."""
+    pieces = []
+    while len(rows) >= lead + WINDOW + CONTEXT:
+        piece = rows.iloc[: lead + WINDOW + CONTEXT]
+        own = piece["own"].to_numpy().copy()
+        own[lead + WINDOW :] = False
+        pieces.append(_context(piece.assign(own=own), lead))
+        rows, lead = rows.iloc[lead + WINDOW - CONTEXT :], CONTEXT
+    return pieces, rows, lead
+
+
+def _context(rows: pd.DataFrame, lead: int) -> pd.DataFrame:
+    """`rows` with the first `lead` as context only."""
+    if not lead:
+        return rows
+    own = rows["own"].to_numpy().copy()
+    own[:lead] = False
+    return rows.assign(own=own)
 
 
 def score_readings(readings: DataFrame, stretch_days: int = 60, overlap_days: int = 6, rules: Rules = Rules()) -> DataFrame:
@@ -322,8 +370,9 @@ def score_readings(readings: DataFrame, stretch_days: int = 60, overlap_days: in
     in source and time, so that they meet.
 
     What is normal is that of a stretch of `stretch_days` around a reading, with `overlap_days` on both sides, and
-    of at most BLOCK readings around it. A task goes through its sorted series as a stream and holds
-    one block, however long a series is.
+    within a stretch of more than WINDOW rows that of WINDOW rows. A task goes through its sorted series as a
+    stream and holds one block and one window, however long a series is. Verdicts depend on the data alone,
+    not on partitions, blocks or batches.
     """
     ship(readings.sparkSession)
     length, margin = stretch_days * DAY, overlap_days * DAY
