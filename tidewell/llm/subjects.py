@@ -265,14 +265,14 @@ def assign(documents: DataFrame, topics: Topics, threshold: float, teaser: re.Pa
             if found:
                 yield pd.DataFrame(found, columns=[key, "area", "topic_share"])
 
-    rows = documents.where(F.length(text) > 0).select(key, F.col(text).alias("_text"))
+    rows = documents.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(key, F.col(text).alias("_text"))
     return rows.mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, area string, topic_share double")
 
 
 def subject_areas(documents: DataFrame, labels: DataFrame, areas: list[str], key: str = "doc_id", text: str = "text", limits: Limits = Limits()) -> DataFrame:
     """(key, area, topic_share): all steps over all `documents`; one or two rows for each document that has its own content.
 
-    Documents with null or empty text or without enough words that speak for an area have no
+    Documents with a null key, with null or empty text or without enough words that speak for an area have no
     row; so has every document if the labels teach no word at all (an empty or tiny sample).
     Equal documents get equal areas. Other columns are ignored.
     """
