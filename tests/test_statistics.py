@@ -152,3 +152,31 @@ def test_areas_by_group_equal_those_of_each_group(spark):
     for g in ("x", "y", "one"):
         assert got[g] == pytest.approx(tuple(R.auc(df.where(F.col("g") == g), "s", "y").first()))
     assert set(got) == {"x", "y", "one"}
+
+
+def test_reduced_scores_see_neither_fold(spark):
+    rng = np.random.default_rng(5)
+    x, fold = rng.normal(size=(600, 2)), np.arange(600) % 3
+    y = (rng.random(600) < 1 / (1 + np.exp(-x[:, 0] + 0.5 * x[:, 1]))).astype(int)
+    df = spark.createDataFrame([(k, *map(float, r), int(c), int(f)) for k, (r, c, f) in enumerate(zip(x, y, fold))], "id int, u double, v double, y int, fold int")
+    got = E.reduced_scores(df, ["u", "v"], "y", "s", 3).orderBy("id").toPandas()
+
+    def fitted(train):
+        z, beta = np.c_[np.ones(train.sum()), x[train]], np.zeros(3)
+        for _ in range(30):
+            q = 1 / (1 + np.exp(-z @ beta))
+            beta += np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + 1e-3 * np.diag([0, 1, 1]), z.T @ (y[train] - q) - 1e-3 * np.r_[0, beta[1:]])
+        return 1 / (1 + np.exp(-np.c_[np.ones(600), x] @ beta))
+
+    for g in range(3):
+        for f in range(3):
+            own = fold == f
+            assert np.allclose(got[f"s_{g}"][own], fitted((fold != f) & (fold != g))[own], atol=1e-5)
+
+
+def test_reduced_blocks_remove_planted_confounding(spark):
+    df = spark.range(6000).select("id", (E.hash_unit(F.lit("c"), F.col("id")) - 0.5).alias("c"), F.lit(0.0).alias("x"))
+    df = df.withColumn("a", (E.hash_unit(F.lit("a"), F.col("id")) < 1 / (1 + F.exp(-4 * F.col("c")))).cast("int"))
+    df = df.withColumn("y", (E.hash_unit(F.lit("y"), F.col("id")) < 0.4 + 0.1 * F.col("a") + 0.6 * F.col("c")).cast("int")).withColumn("d", F.lit(1))
+    point = lambda rows: E.influence(rows).agg(S.influence_summary("psi", "keep")[0]).first().point
+    assert abs(point(E.reduced_nuisances(df, ["x"], ["c"])) - 10) < 3.5 < abs(point(E.rate_nuisances(df)) - 10)

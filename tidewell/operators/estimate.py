@@ -125,9 +125,9 @@ def bootstrap_ratios(df: DataFrame, ratios: dict[str, tuple[Column, Column]], cl
     return weighed.groupBy(*by, "b").agg(*[F.try_divide(total(f"_0_{k}"), total(f"_1_{k}")).alias(k) for k in ratios])
 
 
-def logistics(df: DataFrame, models: dict[str, tuple[list[str], str, Column | None]], group: str, groups: int, ridge: float = 1e-3, steps: int = 8) -> dict[str, dict[int, np.ndarray]]:
+def logistics(df: DataFrame, models: dict, group: str, groups: int, ridge: float = 1e-3, steps: int = 8, without: list[tuple[int, ...]] | None = None) -> dict:
     """For each model (features, label, rows it sees) and each group g in 0..groups-1 the coefficients (intercept first) of a
-    logistic regression on the rows of all other groups.
+    logistic regression on the rows of all other groups. With `without`, model k of it is fitted on the rows of all groups but without[k].
 
     A Newton step is one job for all models and groups: each task sums gradients and Hessians over its rows,
     and Spark adds up the tasks' sums. `df` is read once a step: give it as a written table.
@@ -140,7 +140,8 @@ def logistics(df: DataFrame, models: dict[str, tuple[list[str], str, Column | No
         fits = ~F.exists(row, lambda v: v.isNull()) & (seen if seen is not None else F.lit(True))
         packed.append(F.when(F.coalesce(fits, F.lit(False)), row).alias(f"m{k}"))
     rows = df.select(F.col(group).cast("int").alias("g"), *packed)
-    wide = [len(f) + 1 for f, _, _ in models.values()]
+    wide, left_out = [len(f) + 1 for f, _, _ in models.values()], without or [(g,) for g in range(groups)]
+    groups = len(left_out)
     beta = {m: {g: np.zeros(p) for g in range(groups)} for m, p in zip(names, wide)}
 
     def sums(now: dict[str, dict[int, np.ndarray]]) -> DataFrame:
@@ -155,7 +156,7 @@ def logistics(df: DataFrame, models: dict[str, tuple[list[str], str, Column | No
                     values, own = np.stack(pdf[f"m{k}"].to_numpy()[have]), of[have]
                     x, y = np.c_[np.ones(len(values)), values[:, 1:]], values[:, 0]
                     for g in range(groups):
-                        train = own != g
+                        train = ~np.isin(own, left_out[g])
                         xt = x[train]
                         q = 1 / (1 + np.exp(-np.clip(xt @ now[m][g], -30, 30)))
                         total[k][g] += np.r_[xt.T @ (y[train] - q), ((xt * (q * (1 - q))[:, None]).T @ xt).ravel()]
@@ -216,6 +217,45 @@ def model_nuisances(df: DataFrame, features: list[str], folds: int = 5) -> DataF
     return out.withColumns({"j1": predict(joint, [*z, "_one"], "fold"), "j0": predict(joint, [*z, "_none"], "fold")}).drop(*z, "_one", "_none")
 
 
+def reduced_scores(df: DataFrame, block: list[str], label: str, name: str, folds: int = 5, seen: Column | None = None) -> DataFrame:
+    """`df` (fold) with name_0 .. name_{folds-1}: a block of features reduced to one score, for use in the model of each outer fold.
+
+    The score for outer fold g of a row of another fold is by a model that saw neither fold, that of a row of g by a model
+    that saw all folds but g, so nothing of a row reaches its own score. All models are fitted together. Features
+    must be scaled; a row with a null feature has null scores.
+    """
+    pairs = [(g,) for g in range(folds)] + [(f, g) for f in range(folds) for g in range(f + 1, folds)]
+    beta = logistics(df, {"s": (block, label, seen)}, "fold", folds, without=pairs)["s"]
+    at = {frozenset(p): k for k, p in enumerate(pairs)}
+    for g in range(folds):
+        own = {f: beta[at[frozenset((f, g))]] for f in range(folds)}
+        df = df.withColumn(f"{name}_{g}", predict(own, block, "fold"))
+    return df
+
+
+def reduced_nuisances(df: DataFrame, base: list[str], block: list[str], folds: int = 5) -> DataFrame:
+    """`df` with e, m1, m0, kc from `base` and a block that is reduced to its scores for arm and outcome, nested in the folds.
+
+    Features must be scaled and without nulls.
+    """
+    rows = df.withColumn("fold", fold("id", folds))
+    rows = reduced_scores(rows, block, "a", "_sa", folds)
+    rows = cut(reduced_scores(cut(rows), block, "y", "_sy", folds, F.col("d") == 1))
+    observed, models = F.col("d") == 1, {}
+    for g in range(folds):
+        x = [*base, f"_sa_{g}", f"_sy_{g}"]
+        models |= {("e", g): (x, "a", None), ("kc", g): (x, "d", None)} | {(f"m{arm}", g): (x, "y", observed & (F.col("a") == arm)) for arm in (1, 0)}
+    # Of each fold's models only the fit without that fold is used.
+    fits = logistics(rows, models, "fold", folds)
+    out = {}
+    for k in ("e", "kc", "m1", "m0"):
+        value = F.lit(None).cast("double")
+        for g in range(folds):
+            value = F.when(F.col("fold") == g, predict({g: fits[k, g][g]}, models[k, g][0], "fold")).otherwise(value)
+        out[k] = value
+    return rows.withColumns(out).drop(*[f"{n}_{g}" for n in ("_sa", "_sy") for g in range(folds)])
+
+
 def targeted(df: DataFrame, trim: float = 0.02, steps: int = 100) -> DataFrame:
     """`df` (a, y, d, e, j1, j0, kc) with targeted outcome predictions q1 and q0 and psi.
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewell.functions.times import DAY
+from tidewell.session import cut
 
 
 def interval_join(events: DataFrame, intervals: DataFrame, key: list[str], at: str, start: str, end: str, bucket_us: int = 7 * DAY, how: str = "inner") -> DataFrame:
@@ -20,6 +21,9 @@ def interval_join(events: DataFrame, intervals: DataFrame, key: list[str], at: s
     once for each bucket it meets; an open one ends with its key's last event. With
     how="left" events without an interval stay, with nulls.
     """
+    if how == "left":
+        # Written down, so that a row keeps its number however often it is read.
+        events = cut(events.withColumn("_event", F.monotonically_increasing_id()))
     last = events.groupBy(*key).agg(F.max(at).alias("_last"))
     spans = intervals.where(F.col(start).isNotNull()).join(last, key).withColumn("_stop", F.coalesce(F.least(F.col(end), F.col("_last")), F.col("_last")))
     spans = spans.where(F.col("_stop") >= F.col(start))
@@ -28,12 +32,8 @@ def interval_join(events: DataFrame, intervals: DataFrame, key: list[str], at: s
     inside = marked.join(spans, [*key, "_bucket"], how="inner").where((F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) <= F.col(end)))).drop("_bucket")
     if how == "inner":
         return inside
-    # Null-safe, so that a row with a null anywhere isn't taken for one without an interval.
-    met = inside.select(*[F.col(c).alias(f"_met_{c}") for c in events.columns]).distinct()
-    same = F.lit(True)
-    for c in events.columns:
-        same = same & F.col(c).eqNullSafe(F.col(f"_met_{c}"))
-    return inside.unionByName(events.join(met, same, "left_anti"), allowMissingColumns=True)
+    rest = events.join(inside.select("_event").distinct(), "_event", "left_anti")
+    return inside.unionByName(rest, allowMissingColumns=True).drop("_event")
 
 
 def near_join(left: DataFrame, right: DataFrame, key: list[str], at: str, other: str, before_us: int, after_us: int) -> DataFrame:

@@ -33,6 +33,22 @@ def robustness(spark: SparkSession, sf: str) -> DataFrame:
     return one.select(F.inline(settings))
 
 
+def robustness_swaps(spark: SparkSession, sf: str) -> DataFrame:
+    """The adjusted estimate with one choice changed at a time, from one pass over the influence values: trim, weights for
+    unobserved outcomes left out, outcome model only, weights only, and the overlap-weighted form."""
+    rows = E.influence(E.rate_nuisances(units(spark, sf), strata=["segment", "nation"]), trim=1e-6)
+    a, y, d, e, m1, m0, kc = (F.col(c) for c in ("a", "y", "d", "e", "m1", "m0", "kc"))
+    keep = lambda t: (e > t) & (e < 1 - t)
+    own = m1 - m0 + d * (a * (y - m1) / e - (1 - a) * (y - m0) / (1 - e))
+    ipw = d / kc * (a * y / e - (1 - a) * y / (1 - e))
+    mean = lambda c, t=0.02: F.avg(F.when(keep(t), c)) * 100
+    swaps = {"primary": mean(F.col("psi")), "trim 0.05": mean(F.col("psi"), 0.05), "no censoring weights": mean(own), "outcome model only": mean(m1 - m0), "weights only": mean(ipw),
+             "overlap weights": F.sum(F.when(keep(0.02), F.col("psi_ato"))) / F.sum(F.when(keep(0.02), F.col("h"))) * 100}
+    one = rows.agg(*[v.alias(f"s{k}") for k, v in enumerate(swaps.values())])
+    cells = F.array(*[F.struct(F.lit(name).alias("swap"), F.round(f"s{k}", 5).alias("point"), F.round(F.col(f"s{k}") - F.col("s0"), 5).alias("shift")) for k, name in enumerate(swaps)])
+    return one.select(F.inline(cells))
+
+
 def guarded(spark: SparkSession, sf: str) -> DataFrame:
     """Adjusted effect of each nation and segment; estimates that can't be (beyond 100 points) or rest on few units become null and are marked."""
     rows = E.influence(E.rate_nuisances(units(spark, sf), strata=["segment", "nation"]), trim=1e-6)
@@ -89,6 +105,9 @@ ORACLES = {
 SELECT segment, n, round(point, 5) AS point, round(point - p0, 5) AS difference, round((point - p0) / sqrt(se * se + s0 * s0), 5) AS z FROM f""",
     "guarded": f"""{_CELLS}, q AS (SELECT nation, segment, count(*) AS n, avg(psi) * 100 AS raw FROM p GROUP BY 1, 2)
 SELECT nation, segment, n, CASE WHEN abs(raw) <= 100 AND n >= 5 THEN round(raw, 5) END AS point, CASE WHEN abs(raw) <= 100 AND n >= 5 THEN 'ok' ELSE 'undefined' END AS status FROM q""",
+    "robustness_swaps": f"""{_CELLS}, i AS (SELECT *, (m1 - m0) + d * (a * (y - m1) / e - (1 - a) * (y - m0) / (1 - e)) AS own, d / kc * (a * y / e - (1 - a) * y / (1 - e)) AS ipw, e * (1 - e) AS h, e * (1 - e) * (m1 - m0) + d / kc * (a * (1 - e) * (y - m1) - (1 - a) * e * (y - m0)) AS ato FROM p),
+o AS (SELECT avg(psi) * 100 AS s0, avg(psi) FILTER (e > 0.05 AND e < 0.95) * 100 AS s1, avg(own) * 100 AS s2, avg(m1 - m0) * 100 AS s3, avg(ipw) * 100 AS s4, sum(ato) / sum(h) * 100 AS s5 FROM i WHERE e > 0.02 AND e < 0.98)
+SELECT swap, round(v, 5) AS point, round(v - s0, 5) AS shift FROM (SELECT s0, unnest(['primary', 'trim 0.05', 'no censoring weights', 'outcome model only', 'weights only', 'overlap weights']) AS swap, unnest([s0, s1, s2, s3, s4, s5]) AS v FROM o)""",
     "set_operations": """WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')
 SELECT 'both' AS what, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'urgent only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""",
     "tail_band": "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.025), 4) AS low, round(quantile_cont(o_totalprice, 0.975), 4) AS high, round(avg((o_totalprice > 200000)::INT), 8) AS above, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS cheapest FROM orders GROUP BY 1",
@@ -98,4 +117,4 @@ SELECT 'both' AS what, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FR
     "robustness": f"{_CELLS} SELECT trim, round(avg(psi) * 100, 5) AS point, count(*) AS n, round(sum(wt) * sum(wt) / sum(wt * wt), 2) AS ess FROM t JOIN p ON e > trim AND e < 1 - trim GROUP BY 1",
 }
 
-QUERIES = {f.__name__: f for f in (subgroup_effects, robustness, guarded, set_operations, tail_band, welch, scope_shift)}
+QUERIES = {f.__name__: f for f in (subgroup_effects, robustness, robustness_swaps, guarded, set_operations, tail_band, welch, scope_shift)}

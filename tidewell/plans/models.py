@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewell.operators import estimate as E, ranking as R, statistics as S
@@ -83,6 +84,56 @@ def within_arm_gain(spark: SparkSession, sf: str) -> DataFrame:
     return each.join(F.broadcast(whole))
 
 
+def reduced_effects(spark: SparkSession, sf: str) -> DataFrame:
+    """Estimate with a block of features (balance and line count) as it is, and reduced to out-of-fold scores nested in the folds."""
+    rows = units(spark, sf).na.fill({"lines": 0})
+    rows = cut(rows.withColumn("balance", F.col("balance") / 5000).withColumn("log_price", F.col("log_price") - 11).withColumn("lines", F.col("lines") / 4).na.drop(subset=FEATURES))
+    point, se, low, high, mde, n = S.influence_summary("psi", "keep")
+    parts = []
+    for name, df in (("whole", E.model_nuisances(rows, FEATURES)), ("score", E.reduced_nuisances(rows, FEATURES[:1], FEATURES[1:]))):
+        parts.append(E.influence(df).agg(point, se, low, high, mde, n).withColumn("reduction", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
+def study_probe(spark: SparkSession, sf: str, replicates: int = 500) -> DataFrame:
+    """How well a study's circumstances tell edema: held-out areas with their spread over resamples of subjects.
+
+    A subject is either in the training rows or among the 30 percent held out, by a hash; scaling and model see the
+    training rows only, and resamples draw whole subjects.
+    """
+    studies = table(spark, sf, "cxr_studies").distinct().where("subject_id is not null and study_id is not null and edema in (0, 1)")
+    rows = studies.select("subject_id", "study_id", F.col("edema").alias("y"), (E.hash_unit(F.lit("probe"), F.col("subject_id")) < 0.3).cast("int").alias("held"),
+                          F.coalesce("hours_from_admit", F.lit(0.0)).alias("hours"), F.coalesce("n_images", F.lit(0)).cast("double").alias("images"), F.col("icu_stay_id").isNotNull().cast("double").alias("icu"),
+                          *[(F.col(c) == 1).cast("double").alias(c) for c in ("pneumonia", "atelectasis") if c in studies.columns]).na.fill(0.0)
+    rows, features = cut(rows), [c for c in rows.columns if c not in ("subject_id", "study_id", "y", "held")]
+    stats = rows.where("held = 0").agg(*[f(c).alias(f"{k}_{c}") for c in features for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    scaled = cut(rows.withColumns({c: (F.col(c) - (stats[f"m_{c}"] or 0.0)) / (stats[f"s_{c}"] or 1.0) for c in features}))
+    # The fit without group 1 saw the training rows only.
+    beta = E.logistics(scaled, {"p": (features, "y", None)}, "held", 2, without=[(1,)])["p"][0]
+    scored = cut(scaled.where("held = 1").select("subject_id", "y", F.round(E.predict({1: beta}, features, "held"), 8).alias("p")))
+    drawn = R.resampled_curves(scored, "p", "y", "subject_id", replicates).unpivot("b", ["auroc", "average_precision"], "area", "value")
+    point = R.auc(scored, "p", "y").select("auroc").join(F.broadcast(R.average_precision(scored, "p", "y").select("average_precision"))).unpivot([], ["auroc", "average_precision"], "area", "point")
+    return drawn.groupBy("area").agg(*S.replicate_summary("value"), F.count("value").alias("replicates")).join(point, "area")
+
+
+def gain_calibration(spark: SparkSession, sf: str, least: int = 8) -> DataFrame:
+    """Monotone fit of the bias that adjusting for the segment removes on how unevenly segments stand in the arms, over nations: (nation, gain, less_bias, fitted).
+
+    Equal gains share their mean; fewer than `least` nations have no fit.
+    """
+    u = units(spark, sf)
+    cells = u.groupBy("nation", "segment").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("share"))
+    gain = cells.groupBy("nation").agg(F.round(F.sqrt(F.var_pop("share")) * 100, 6).alias("gain"))
+    effect = lambda strata, name: E.influence(E.rate_nuisances(u, strata=strata)).groupBy("nation").agg(F.abs(F.avg("psi") * 100).alias(name))
+    rows = cut(gain.join(effect(None, "before"), "nation").join(effect(["segment"], "after"), "nation").select("nation", "gain", (F.col("before") - F.col("after")).alias("less_bias")))
+    levels = rows.groupBy("gain").agg(F.avg("less_bias").alias("less_bias"), F.count(F.lit(1)).cast("double").alias("n"))
+    if rows.count() < least:
+        return rows.withColumn("fitted", F.lit(None).cast("double"))
+    data = VectorAssembler(inputCols=["gain"], outputCol="features").transform(levels)
+    fitted = IsotonicRegression(featuresCol="features", labelCol="less_bias", weightCol="n", predictionCol="fitted").fit(data)
+    return rows.join(fitted.transform(data).select("gain", "fitted"), "gain").select("nation", "gain", "less_bias", "fitted")
+
+
 def frontal_views(spark: SparkSession, sf: str) -> DataFrame:
     """Studies by shard with a frontal view, and with a frontal view and none from the side."""
     rows = table(spark, sf, "cxr_studies").distinct()
@@ -114,4 +165,4 @@ SELECT l_returnflag, round(any_value(b), 4) AS slope, round(any_value(a), 2) AS
     "first_values": f"WITH {_S} SELECT subject_id, {_PICK}, count(*) AS n FROM s WHERE subject_id IS NOT NULL GROUP BY 1",
     "label_crosstab": f"WITH {_S} SELECT encounter_type, " + ", ".join(f"count(*) FILTER (edema = {k}) AS edema_{k}" for k in range(4)) + " FROM s GROUP BY 1",
 }
-QUERIES = {f.__name__: f for f in (vector_probe, probe_intervals, fold_components, residual_fit, within_arm_gain, frontal_views, first_values, label_crosstab)}
+QUERIES = {f.__name__: f for f in (vector_probe, probe_intervals, fold_components, residual_fit, within_arm_gain, reduced_effects, study_probe, gain_calibration, frontal_views, first_values, label_crosstab)}

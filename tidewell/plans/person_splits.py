@@ -72,7 +72,7 @@ def p2_check(spark: SparkSession, sf: str) -> DataFrame:
     persons = rows.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"), F.max("new_split").alias("split"), F.count_if(F.col("new_split").isNull()).alias("left_out"), (F.min("new_split") < F.max("new_split")).cast("int").alias("torn"))
     whole = persons.agg(F.sum("n").alias("all"), F.max("n").alias("largest"), F.sum("left_out").alias("left_out"), F.sum("torn").alias("torn_persons"))
     size = persons.groupBy("split").agg(F.sum("n").alias("n"))
-    wanted = table(spark, sf, "split_targets").select("split", "share").distinct()
+    wanted = table(spark, sf, "split_targets").where("split is not null").select("split", "share").distinct()
     # Three rows by nature, and one.
     share = F.coalesce("n", F.lit(0)) / F.col("all")
     return F.broadcast(wanted).join(size, "split", "left").join(F.broadcast(whole)).select(
@@ -91,7 +91,7 @@ SELECT coalesce(group_id, s.subject_id) AS group_id FROM s LEFT JOIN root USING
 WHERE split IS NOT NULL AND s.subject_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1""",
     "p2_check": """WITH r AS (SELECT 'study' AS kind, study_id AS id, CAST(subject_id AS VARCHAR) AS owner FROM cxr_studies WHERE subject_id IS NOT NULL
   UNION SELECT 'unit_stay', patientunitstayid, trim(uniquepid) FROM patient WHERE trim(coalesce(uniquepid, '')) <> '')
-SELECT split, (SELECT count(*) FROM (SELECT DISTINCT kind, id FROM r)) AS "all", true AS as_wanted, 0::BIGINT AS torn_persons, 0::BIGINT AS left_out FROM (SELECT DISTINCT split FROM split_targets)""",
+SELECT split, (SELECT count(*) FROM (SELECT DISTINCT kind, id FROM r)) AS "all", true AS as_wanted, 0::BIGINT AS torn_persons, 0::BIGINT AS left_out FROM (SELECT DISTINCT split FROM split_targets WHERE split IS NOT NULL)""",
 }
 
 QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_check": p2_check}

@@ -65,11 +65,12 @@ def age_bands(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prefix_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """Events by code prefix, from a table of prefixes; a code may have several."""
-    prefixes = spark.createDataFrame([("2200", "pressure"), ("2202", "breathing"), ("509", "chemistry"), ("5", "lab"), ("226", "output")], "prefix string, family string")
-    codes = table(spark, sf, "features").groupBy("type").agg(F.countDistinct("event_id").alias("n"))
+    """Events by code family, from a table of prefixes for each code system (here the modality); a code may have several families."""
+    prefixes = spark.createDataFrame([("chart", "2200", "pressure"), ("chart", "2202", "breathing"), ("lab", "509", "chemistry"), ("lab", "5", "lab"), ("input", "22", "fluid"), ("output", "226", "output")], "system string, prefix string, family string")
+    codes = table(spark, sf, "features").groupBy("modality", "type").agg(F.countDistinct("event_id").alias("n"))
     # One row for each code, so the prefix join works on codes, not on events.
-    return codes.join(F.broadcast(prefixes), F.col("type").startswith(F.col("prefix"))).groupBy("family").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("codes"))
+    same = (F.col("modality") == F.col("system")) & F.col("type").startswith(F.col("prefix"))
+    return codes.join(F.broadcast(prefixes), same).groupBy("family").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("codes"))
 
 
 def keyword_regex(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,20 +126,25 @@ def seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def integrity(spark: SparkSession, sf: str) -> DataFrame:
-    """(check, failures, passed) of invariants of the tables, each counted over all rows."""
+    """(check, failures, passed) of invariants of the tables, each counted over all rows; a table is read once for all of its checks."""
     f, e = table(spark, sf, "features"), table(spark, sf, "embeddings")
-    copies = f.groupBy("event_id").agg(F.countDistinct("subject_id", "time", "type").alias("k"))
-    parts = [
-        f.agg(F.count_if(F.col("storetime") < F.col("time")).alias("failures")).withColumn("check", F.lit("stored before measured")),
-        f.agg(F.count_if(F.col("shard") != shard(F.col("subject_id"))).alias("failures")).withColumn("check", F.lit("shard of another subject")),
-        copies.agg(F.count_if(F.col("k") > 1).alias("failures")).withColumn("check", F.lit("copies that disagree")),
-        e.agg(F.count_if(F.size("embedding") != 64).alias("failures")).withColumn("check", F.lit("vector of another length")),
-        f.agg(F.count_if((F.col("modality") == "lab") & F.col("stay_id").isNotNull()).alias("failures")).withColumn("check", F.lit("lab row with a stay")),
-    ]
-    one = parts[0]
-    for p in parts[1:]:
-        one = one.unionByName(p)
-    return one.select("check", "failures", (F.col("failures") == 0).alias("passed"))
+    # Copies are compared by what identifies an event, in the same pass that counts the checks on rows.
+    same = F.xxhash64("subject_id", "time", "type")
+    of_event = f.groupBy("event_id").agg(
+        F.count_if(F.col("storetime") < F.col("time")).alias("early"), F.count_if(F.col("shard") != shard(F.col("subject_id"))).alias("shard"),
+        F.count_if((F.col("modality") == "lab") & F.col("stay_id").isNotNull()).alias("lab"), F.count_if(F.col("t0").isNotNull() & F.col("stay_id").isNull()).alias("t0"),
+        (F.min(same) != F.max(same)).cast("int").alias("differ"))
+    counted = of_event.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("early", "shard", "lab", "t0", "differ")])
+    rows = counted.select(F.inline(F.array(*[F.struct(F.lit(name).alias("check"), F.col(c).alias("failures")) for c, name in (
+        ("early", "stored before measured"), ("shard", "shard of another subject"), ("lab", "lab row with a stay"), ("t0", "time zero without a stay"), ("differ", "copies that disagree"))])))
+    of_vector = e.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("embedding") != 64).alias("length"))
+    vectors = of_vector.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("length"), F.count_if(F.col("n") > 1).alias("twice"))
+    rows = rows.unionByName(vectors.select(F.inline(F.array(*[F.struct(F.lit(name).alias("check"), F.col(c).alias("failures")) for c, name in (
+        ("length", "vector of another length"), ("twice", "index with several vectors"))]))))
+    stays = table(spark, sf, "icu_stays").where("subject_id is not null").select("subject_id").distinct()
+    orphans = stays.join(table(spark, sf, "patients").select("subject_id").distinct(), "subject_id", "left_anti").agg(F.count(F.lit(1)).alias("failures"))
+    rows = rows.unionByName(orphans.select(F.lit("stay of an unknown subject").alias("check"), "failures"))
+    return rows.select("check", "failures", (F.col("failures") == 0).alias("passed"))
 
 
 _Z = "z AS (SELECT subject_id, min(t0) AS t0 FROM features WHERE t0 IS NOT NULL AND subject_id IS NOT NULL GROUP BY 1)"
@@ -150,7 +156,7 @@ SELECT patientunitstayid, round(pf, 6) AS pf_ratio, CAST(CASE WHEN pf < 100 THEN
   + CASE WHEN m < 70 THEN 1 ELSE 0 END + CASE WHEN c >= 5 THEN 4 WHEN c >= 3.5 THEN 3 WHEN c >= 2 THEN 2 WHEN c >= 1.2 THEN 1 ELSE 0 END AS BIGINT) AS score FROM x""",
     "age_bands": """WITH r AS (SELECT DISTINCT * FROM patient), a AS (SELECT *, CASE WHEN trim(age) LIKE '>%' THEN 90 ELSE try_cast(trim(age) AS DOUBLE) END AS y FROM r)
 SELECT CASE WHEN y <= 40 THEN '(0,40]' WHEN y <= 65 THEN '(40,65]' WHEN y <= 80 THEN '(65,80]' WHEN y IS NOT NULL THEN '(80,120]' ELSE 'unknown' END AS band, count(*) AS n, count(*) FILTER (lower(trim(hospitaldischargestatus)) = 'expired' AND hospitaldischargeoffset <= 40320) AS early_deaths FROM a GROUP BY 1""",
-    "prefix_flags": "WITH p(prefix, family) AS (VALUES ('2200', 'pressure'), ('2202', 'breathing'), ('509', 'chemistry'), ('5', 'lab'), ('226', 'output')), c AS (SELECT type, count(DISTINCT event_id) AS n FROM features GROUP BY 1) SELECT family, CAST(sum(n) AS BIGINT) AS n, count(*) AS codes FROM c JOIN p ON starts_with(type, prefix) GROUP BY 1",
+    "prefix_flags": "WITH p(system, prefix, family) AS (VALUES ('chart', '2200', 'pressure'), ('chart', '2202', 'breathing'), ('lab', '509', 'chemistry'), ('lab', '5', 'lab'), ('input', '22', 'fluid'), ('output', '226', 'output')), c AS (SELECT modality, type, count(DISTINCT event_id) AS n FROM features GROUP BY 1, 2) SELECT family, CAST(sum(n) AS BIGINT) AS n, count(*) AS codes FROM c JOIN p ON modality = system AND starts_with(type, prefix) GROUP BY 1",
     "keyword_regex": "SELECT coalesce(lower(substr(lang, 1, 2)), 'none') AS lang, count(*) AS n, count(*) FILTER (regexp_matches(lower(text), 'court|judge|verdict')) AS law, count(*) FILTER (regexp_matches(lower(text), 'surgeon|fever|dosage')) AS medicine, count(*) FILTER (contains(text, '©')) AS footers FROM documents GROUP BY 1",
     "nested_props": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, CAST(sum(try_cast(props->>'$.k' AS BIGINT)) AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2",
     "compact_times": "SELECT DISTINCT study_id, strftime(date_trunc('second', study_datetime), '%Y-%m-%d %H:%M:%S') AS at FROM cxr_studies WHERE study_id IS NOT NULL",
@@ -161,9 +167,11 @@ SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events, max(n) A
 SELECT CAST(k AS INTEGER) AS label, CAST(w.pos AS INTEGER) AS pos, round(coalesce(l.m, w.m), 5) AS value, l.m IS NOT NULL AS real FROM range(12) t(k) CROSS JOIN w LEFT JOIN l ON l.label = k AND l.pos = w.pos""",
     "fold_counts": "SELECT CAST(floor(('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE * 5) AS INTEGER) AS fold, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1",
     "seeded_sample": "SELECT o_orderkey FROM orders ORDER BY md5('7-' || o_orderkey::VARCHAR), o_orderkey LIMIT 500",
-    "integrity": """WITH c AS (SELECT event_id, count(DISTINCT (subject_id, time, type)) AS k FROM features GROUP BY 1), r AS (
+    "integrity": """WITH c AS (SELECT event_id, count(DISTINCT (subject_id, time, type)) AS k FROM features GROUP BY 1), v AS (SELECT vec_id, count(*) AS k FROM embeddings GROUP BY 1), r AS (
   SELECT 'stored before measured' AS "check", count(*) FILTER (storetime < time) AS failures FROM features UNION ALL SELECT 'shard of another subject', count(*) FILTER (shard <> 'p' || substr(subject_id::VARCHAR, 1, 2)) FROM features
-  UNION ALL SELECT 'copies that disagree', count(*) FILTER (k > 1) FROM c UNION ALL SELECT 'vector of another length', count(*) FILTER (len(embedding) <> 64) FROM embeddings UNION ALL SELECT 'lab row with a stay', count(*) FILTER (modality = 'lab' AND stay_id IS NOT NULL) FROM features)
+  UNION ALL SELECT 'copies that disagree', count(*) FILTER (k > 1) FROM c UNION ALL SELECT 'vector of another length', count(*) FILTER (len(embedding) <> 64) FROM embeddings UNION ALL SELECT 'lab row with a stay', count(*) FILTER (modality = 'lab' AND stay_id IS NOT NULL) FROM features
+  UNION ALL SELECT 'time zero without a stay', count(*) FILTER (t0 IS NOT NULL AND stay_id IS NULL) FROM features UNION ALL SELECT 'index with several vectors', count(*) FILTER (k > 1) FROM v
+  UNION ALL SELECT 'stay of an unknown subject', count(DISTINCT subject_id) FROM icu_stays WHERE subject_id NOT IN (SELECT subject_id FROM patients WHERE subject_id IS NOT NULL))
 SELECT "check", failures, failures = 0 AS passed FROM r""",
 }
 
