@@ -118,8 +118,8 @@ def bootstrap_ratios(df: DataFrame, ratios: dict[str, tuple[Column, Column]], cl
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # By a hash of the cluster: a repartition by the cluster itself equals the aggregate's and is dropped, and the adaptive plan leaves one task.
     drawn = sums.groupBy(cluster).agg(F.collect_list(F.struct(*parts)).alias("_rows")).repartition(tasks, F.xxhash64(cluster))
-    # The hash is an output of the generator, so that no plan computes it once for each step of the weight.
-    each = drawn.select("_rows", F.inline(F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda b: F.struct(b.alias("b"), hash_unit(F.lit(seed), b, F.col(cluster)).alias("_q")))))
+    # The hash is computed behind the generator, in generated code.
+    each = drawn.select(cluster, "_rows", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")).withColumn("_q", hash_unit(F.lit(seed), F.col("b"), F.col(cluster)))
     weighed = each.select("b", poisson_weight(F.col("_q")).alias("_w"), F.inline("_rows"))
     total = lambda c: F.sum(F.col("_w") * F.col(c))
     return weighed.groupBy(*by, "b").agg(*[F.try_divide(total(f"_0_{k}"), total(f"_1_{k}")).alias(k) for k in ratios])
