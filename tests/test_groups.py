@@ -38,6 +38,19 @@ def test_components_against_brute_force(spark):
     assert got == _brute(edges)
 
 
+def test_only_the_last_round_stays_written(spark):
+    from pathlib import Path
+
+    from tidewell import session
+
+    before = session.cut(spark.range(1))
+    folder = Path(before._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:")).parent
+    made = set(folder.iterdir())
+    got = components(spark.createDataFrame([(k, k + 1) for k in range(50)], "a bigint, b bigint"))
+    assert len(set(folder.iterdir()) - made) <= 1 and got.count() == 51
+    session.uncut(before)
+
+
 def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidewell.session import cut
+from tidewell.session import cut, uncut
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     now = cut(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct())
     before = None
     for _ in range(rounds):
-        now = cut(_small_star(_large_star(now)))
+        last, now = now, cut(_small_star(_large_star(now)))
+        uncut(last)
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (state.n, state.h) == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

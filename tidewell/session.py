@@ -47,6 +47,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def uncut(df: DataFrame) -> None:
+    """Removes the files of a table made by `cut` that nothing will read any more."""
+    spark = df.sparkSession
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 
