@@ -69,8 +69,12 @@ class Results:
             system.delete(at, True)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        """Adds rows."""
-        self._write(name, self.read(name).unionByName(self._fitted(name, rows)))
+        """Adds rows to the present version; those of a run that stops halfway aren't seen."""
+        done, fitted = self._versions(name), self._fitted(name, rows)
+        if done:
+            fitted.write.mode("append").parquet(done[-1])
+        else:
+            self._write(name, fitted)
 
     def replace(self, name: str, rows: DataFrame, **where: object) -> None:
         """Removes the rows that match all of `where` (a value, a list of values, or None for null) and adds `rows`.
